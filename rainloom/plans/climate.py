@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rainloom.operators import anomalies, near, regular_grid, units
+from rainloom.operators import anomalies, near, regular_grid, schema_drift, units
 from rainloom.session import table
 
 #: Largest possible amounts in mm.
@@ -53,3 +53,11 @@ def harmonised_values(spark: SparkSession, folder: str) -> DataFrame:
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return harmonised_values(spark, folder).where("unit_code not in ('mm', 'mm_h')").select("table_name", "row_id", "field", "unit_code")
+
+
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    return schema_drift.schema_changes(table(spark, folder, "mf_files")).select("file_id", "change_kind", "field_name")
+
+
+def p6_records(spark: SparkSession, folder: str) -> DataFrame:
+    return schema_drift.unified_records(table(spark, folder, "mf_files"))
