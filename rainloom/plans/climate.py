@@ -61,3 +61,32 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p6_records(spark: SparkSession, folder: str) -> DataFrame:
     return schema_drift.unified_records(table(spark, folder, "mf_files"))
+
+
+QUERIES = {
+    "p1_found": p1_found,
+    "p1_grid": grid_of_deployments,
+    "p3_found": p3_found,
+    "p4_found": p4_found,
+    "p5_found": p5_found,
+    "p5_values": harmonised_values,
+    "p6_found": p6_found,
+    "p6_records": p6_records,
+}
+
+ORACLE = {
+    "p1_found": """
+        with d as (
+          select poste, field, step_min, epoch_us(active_from) as a,
+                 (epoch_us(active_to) - epoch_us(active_from)) // (step_min * 60000000) as n
+          from deployments where field in ('precipitation', 'rain_rate')),
+        slots as (
+          select poste, field, a + k * step_min * 60000000 as a, a + (k + 1) * step_min * 60000000 as b
+          from d, unnest(range(0, n)) as u(k)),
+        r as (
+          select poste, 'precipitation' as field, epoch_us(time) as us from gauge_series where precipitation >= 0 and not isnan(precipitation)
+          union all
+          select poste, 'rain_rate', epoch_us(time) from radar_rain where rain_rate >= 0 and not isnan(rain_rate))
+        select s.poste, s.field, cast(s.a // 1000000 as bigint) as slot_epoch
+        from slots s anti join r on r.poste = s.poste and r.field = s.field and r.us >= s.a and r.us < s.b""",
+}
