@@ -26,7 +26,7 @@ def asof_forward(left: DataFrame, right: DataFrame, left_time: str, right_time:
     last = F.broadcast(a.agg(F.max(F.struct("u1", "t1")).alias("m")).select("m.u1", "m.t1"))  # one row
     late = b.crossJoin(last).where((F.col("u2") > F.col("u1")) & (F.col("u2") - F.col("u1") <= width)).select("t2", "u2", "u1", "t1")
     x = first.unionByName(late)
-    half = F.make_dt_interval(secs=(F.col("u1") - F.col("u2")) / 2 / 1e6)
+    half = F.make_dt_interval(secs=(F.floor((F.col("u1") - F.col("u2")) / 2).cast("decimal(18,0)") / F.lit(1_000_000)).cast("decimal(18,6)"))
     made = F.col("t1") + half if stamp == "reference" else F.col("t2") + half
     return x.select("t1", "t2", made.alias("stamp"))
 

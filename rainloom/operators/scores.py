@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rainloom.functions import metrics as M
+from rainloom.session import small_or_shuffled
 
 
 def score_table(df: DataFrame, reference: str, variables: list[str] | None = None, scores: list[str] | None = None, by: list[str] | None = None, skipna: bool = True) -> DataFrame:
@@ -119,7 +120,7 @@ def row_correlations(a: DataFrame, b: DataFrame, row: str, vector: str) -> DataF
         x = df.select(F.col(row).alias(f"row_{name}"), F.col(vector).cast("array<double>").alias("v")).withColumn("m", mean(F.col("v")))
         x = x.withColumn("v", F.transform("v", lambda e: e - F.col("m")))
         return x.select(f"row_{name}", F.col("v").alias(f"v_{name}"), F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, e: s + e * e)).alias(f"n_{name}"))
-    x = scaled(a, "a").crossJoin(F.broadcast(scaled(b, "b")))
+    x = scaled(a, "a").crossJoin(small_or_shuffled(scaled(b, "b")))
     dot = F.aggregate(F.zip_with("v_a", "v_b", lambda p, q: p * q), F.lit(0.0), lambda s, e: s + e)
     return x.select("row_a", "row_b", F.try_divide(dot, F.col("n_a") * F.col("n_b")).alias("r"))
 
