@@ -78,10 +78,10 @@ ORACLE = {
     "p1_found": """
         with d as (
           select poste, field, step_min, epoch_us(active_from) as a,
-                 (epoch_us(active_to) - epoch_us(active_from)) // (step_min * 60000000) as n
+                 (epoch_us(active_to) - epoch_us(active_from)) // (cast(step_min as bigint) * 60000000) as n
           from deployments where field in ('precipitation', 'rain_rate')),
         slots as (
-          select poste, field, a + k * step_min * 60000000 as a, a + (k + 1) * step_min * 60000000 as b
+          select poste, field, a + k * cast(step_min as bigint) * 60000000 as a, a + (k + 1) * cast(step_min as bigint) * 60000000 as b
           from d, unnest(range(0, n)) as u(k)),
         r as (
           select poste, 'precipitation' as field, epoch_us(time) as us from gauge_series where precipitation >= 0 and not isnan(precipitation)
