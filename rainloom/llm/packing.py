@@ -9,7 +9,6 @@ only ones that blocks cost.
 from __future__ import annotations
 
 import base64
-import importlib.util
 import os
 
 import numpy as np
@@ -22,6 +21,8 @@ CAPACITY = 2_048
 BLOCK_ITEMS = 16_384
 TOKENIZERS = "/opt/tokenizers"
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
+#: Fixed value: the split pattern of the byte-level vocabularies.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
 def pack(sizes: np.ndarray, capacity: int = CAPACITY) -> np.ndarray:
@@ -84,14 +85,10 @@ def pack(sizes: np.ndarray, capacity: int = CAPACITY) -> np.ndarray:
     return out
 
 
-def token_counter(folder: str = TOKENIZERS, vocabulary: str = VOCABULARY):
-    """What a task needs to count tokens: the vocabulary file's bytes (well under 2 MB) and its split pattern."""
+def token_counter(folder: str = TOKENIZERS, vocabulary: str = VOCABULARY) -> bytes:
+    """What a task needs to count tokens: the vocabulary file's bytes, well under 2 MB."""
     with open(os.path.join(folder, vocabulary), "rb") as f:
-        data = f.read()
-    spec = importlib.util.spec_from_file_location("public_tokenizers", os.path.join(folder, "public_tokenizers.py"))
-    module = importlib.util.module_from_spec(spec)
-    spec.loader.exec_module(module)
-    return data, module.PATTERN
+        return f.read()
 
 
 def token_sizes(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", folder: str = TOKENIZERS, vocabulary: str = VOCABULARY) -> DataFrame:
@@ -103,9 +100,8 @@ def token_sizes(documents: DataFrame, doc_id: str = "doc_id", text: str = "text"
         if "e" not in cache:
             import tiktoken
 
-            data, pattern = shared.value
-            ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in data.splitlines() if line)}
-            cache["e"] = tiktoken.Encoding("items", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+            ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in shared.value.splitlines() if line)}
+            cache["e"] = tiktoken.Encoding("items", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         encode = cache["e"].encode_ordinary
         for b in batches:
             yield pd.DataFrame({"doc_id": b["d"].to_numpy(), "n_tokens": [len(encode(t)) for t in b["t"]]})
