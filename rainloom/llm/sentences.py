@@ -23,7 +23,7 @@ QUOTE = 1500
 # Abbreviations.  Those of the first list never end a sentence, those of the second not
 # before a figure or a small letter, those of the third not before a small letter.
 NEVER = (
-    "dr|drs|mr|mrs|ms|prof|st|ste|sr|sra|srta|dra|mme|mlle|mm?e|messrs|hr|fr|frl|rev|gen|col|capt|lt|sgt|e\\.g|i\\.e|e\\. g|i\\. e|p\\. ?ex|p\\. ?ej|c\\.-à-d|z\\. ?b|d\\. ?h|u\\. ?a|bzw|ca|vgl|sog|"
+    "dr|drs|mr|mrs|ms|prof|st|ste|sr|sra|srta|dra|mme|mlle|mm?e|messrs|hr|fr|frl|rev|gen|col|capt|lt|sgt|e\\.g|i\\.e|e\\. g|i\\. e|p\\. ?ex|p\\. ?ej|c\\.-.{1,2}-d|z\\. ?b|d\\. ?h|u\\. ?a|bzw|ca|vgl|sog|"
     "approx|aprox|approximadamente|env|vs|cf|avda|δηλ|περ|π\\.χ|βλ|κ|डॉ|श्री|ver|v"
 )
 BEFORE_FIGURE = (
@@ -71,9 +71,12 @@ def _quotes(x: _Steps) -> None:
     body = lambda marks: f"([^{marks}{_BREAK}]{{1,{QUOTE}}}+)"
     straight = f"\"(?=[^\\s\"])([^\"{_BREAK}]{{1,{QUOTE}}})(?<=[^\\s])\"(?=[\\s.,;:!?)…।]|$|\\p{{Lu}})"
     pairs = [("„", f"„{body('„“”')}[“”]"), ("“", f"“{body('“”„')}”"), ("«", f"«{body('«»')}»"), ("「", f"「{body('「」')}」"), ("『", f"『{body('『』')}』"), ("‹", f"‹{body('‹›')}›"), ('"', straight)]
+    # marks in wrongly decoded texts: three characters each, or all the same replacement character
+    pairs += [("â€œ", f"â€œ([^{_BREAK}]{{1,{QUOTE}}}?)â€\u009d"), ("â€ž", f"â€ž([^{_BREAK}]{{1,{QUOTE}}}?)â€œ"), ("\ufffd", f"\ufffd(?<=(?:^|[ {_BREAK}])\ufffd)( ?(?:\\p{{Lu}}|\ufffd)[^{_BREAK}]{{1,{QUOTE}}}?[.!?…] ?)\ufffd(?=[\\s.,;]|$)")]
     for mark, pair in pairs:
         led = f"{mark}(?<=[:：] ?{mark}){pair[len(mark) :]}"
-        x.swap((led, f"{_OPEN_LED}$1{_CLOSE_LED}"), (pair, f"{_OPEN}$1{_CLOSE}"), has=mark)
+        wide = "\ue024" * (len(mark) - 1)  # the stand-in keeps the length
+        x.swap((led, f"{wide}{_OPEN_LED}$1{_CLOSE_LED}{wide}"), (pair, f"{wide}{_OPEN}$1{_CLOSE}{wide}"), has=mark[:1])
     # cut before each opening and after each closing mark; only the parts that open are translated
     cuts = F.split(F.regexp_replace(F.regexp_replace(F.col(x.column), f"([{_OPEN}{_OPEN_LED}])", f"{_CUT}$1"), f"([{_CLOSE}{_CLOSE_LED}])", f"$1{_CUT}"), _CUT)
     opens = lambda p: p.startswith(_OPEN) | p.startswith(_OPEN_LED)
@@ -89,10 +92,12 @@ def _dots(x: _Steps) -> None:
     """
     letter = "[\\p{L}\\p{M}\\p{N}]"
     # addresses first: their dots may stand before a capital
-    x.swap(("\\.(?=[\\p{L}\\p{N}])(?<=(?:www|://|@)[\\w.\\-/@:]{0,80}\\.)", _DOT), where="www\\.|://|@")
+    x.swap(("\\.(?=[\\p{Ll}\\p{N}])(?<=(?:www|://|@)[\\w.\\-/@:]{0,80}\\.)", _DOT), where="www\\.|://|@")
     # figures and versions, a small letter after the dot, acronyms; Thai and Indic abbreviations
     x.swap((f"\\.(?:(?=\\p{{N}})(?<=\\p{{N}}\\.)|(?=\\p{{Ll}})(?<={letter}\\.)|(?=\\p{{Lu}}\\b|-)(?<=(?<![\\p{{L}}\\p{{M}}])\\p{{Lu}}\\.))", _DOT))
     x.swap(("\\.(?:(?<=[\\u0E00-\\u0E7F]\\.)(?=[\\u0E00-\\u0E7F\\p{N}])|(?<=[\\u0900-\\u097F]\\.)(?=[ \\u0900-\\u097F]))", _DOT))
+    # abbreviations of several letters with blanks between
+    x.swap((f"\\.(?= ?\\p{{L}}{{1,2}}\\.)(?<=(?<!{letter})\\p{{L}}\\.)", _DOT))
     # initials: one capital that no letter stands before, before another name
     x.swap((f"\\.(?= ?\\p{{Lu}})(?<=(?<![\\p{{L}}\\p{{M}}\\p{{N}}{_DOT}])(?<!\\bS[.{_DOT}] ?)(?<!\\be[.{_DOT}] ?)\\p{{Lu}}\\.)", _DOT))
     before = lambda names: f"(?<=(?<!{letter})(?:{names.replace(chr(92) + '.', f'[.{_DOT}]').replace(' ?', '(?: |)')})\\.)"
@@ -111,7 +116,7 @@ def with_marks(df: DataFrame, text: str, out: str) -> DataFrame:
     """``df`` with ``out``: the text with terminators masked where they end nothing and the marker after each unit."""
     last = "[)\\]）】’]*"
     x = _Steps(df.withColumn(out, F.col(text)), out)
-    x.swap(("[\\uE000-\\uE023]", "\ufffd"), where="[\\uE000-\\uE023]")
+    x.swap(("[\\uE000-\\uE024]", "\ufffe"), where="[\\uE000-\\uE024]")
     _quotes(x)
     _dots(x)
     # scripts whose terminators need no blank after them
@@ -119,16 +124,17 @@ def with_marks(df: DataFrame, text: str, out: str) -> DataFrame:
         x.swap((f"{t}[。！？｡।॥]*+[{_CLOSE}{_CLOSE_LED}]?{last}", f"$0{_CUT}"), has=t)
     # a terminator and a blank, before anything but a separator of menus and footers; or the blank left out
     blank = f"(?=[ \\t\\u00A0\\u3000]+[^\\s–—\\-|·•›)\\]{_CLOSE}{_CLOSE_LED}])"
-    glued = f"(?=[\\p{{Lu}}\\p{{Lo}}¿¡{_OPEN}{_OPEN_LED}])"
+    glued = f"(?=[\\p{{Lu}}\\p{{Lo}}¿¡{_OPEN}{_OPEN_LED}])(?![ºª])"
     for t in ".!?…؟۔":
         run = f"\\Q{t}\\E(?<![.!?…؟۔]\\Q{t}\\E)[.!?…؟۔]*+{last}"
         x.swap((f"{run}{blank}|\\Q{t}\\E(?<=[\\p{{Ll}}\\p{{Lo}}\\p{{M}}\\p{{N}})]\\Q{t}\\E)[.!?…؟۔]*+{last}{glued}", f"$0{_CUT}"), has=t)
+    x.swap((f"¦(?<=â€¦)(?:{blank}|{glued})", f"$0{_CUT}"), has="¦")
     x.swap((f";(?<=[\\u0370-\\u03FF];)(?= \\p{{Lu}})", f";{_CUT}"), has=";")
     x.swap((f"\u037e(?= )", f"\u037e{_CUT}"), has="\u037e")
     # after a quotation that ends with a terminator a new sentence begins with a capital; a script without
     # capitals goes on unless a colon led up to the quotation, and so does a text that uses none
     capital = f"(?= *[\\p{{Lu}}\\p{{N}}¿¡{_OPEN}{_OPEN_LED}])"
-    ended = lambda mark: f"{mark}(?<=[{_MASKED}] ?{mark})"
+    ended = lambda mark: f"{mark}(?<=[{_MASKED}] ?{mark})\ue024*+"
     x.swap((f"{ended(_CLOSE)}{capital}", f"$0{_CUT}"), has=_CLOSE)
     x.swap((f"{ended(_CLOSE_LED)}(?:{capital}|(?= *\\p{{Lo}}))", f"$0{_CUT}"), has=_CLOSE_LED)
     x.swap((f"{ended(_CLOSE_LED)}(?= +\\p{{Ll}})", f"$0{_CUT}"), has=_CLOSE_LED, where="^[^\\p{Lu}]*$")
