@@ -30,7 +30,7 @@ def commented_csv(spark: SparkSession, folder: str, tz: str = "America/Sao_Paulo
     time goes to UTC if the record is shorter than a day (``tz_rule="duration"``) or its step is ("step").  Files with
     the same name and size are one; files without two times have no duration and are left out.
     """
-    raw = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.csv").option("wholetext", "true").text(folder)
+    raw = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.csv").text(folder, wholetext=True)
     x = raw.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("name"), F.col("_metadata.file_size").alias("size"), "value")
     x = x.groupBy("name", "size").agg(F.min_by("value", "path").alias("value"), F.min("path").alias("path"))
     lines = F.filter(F.split("value", r"\r?\n"), lambda v: F.trim(v) != "")
@@ -128,7 +128,7 @@ def station_pages(spark: SparkSession, folder: str) -> DataFrame:
     """
     from rainloom.operators.near import with_position
 
-    x = spark.read.option("wholetext", "true").option("pathGlobFilter", "*.html").text(folder)
+    x = spark.read.option("pathGlobFilter", "*.html").text(folder, wholetext=True)
 
     def run(batches):
         import pandas as pd
