@@ -91,7 +91,7 @@ def r6(c) -> "F.Column":
 
 @query(
     f"""with {_SERIES}, f as (select pixel, day, {_LINEAR} as v from e), c as (select pixel, day, count(rate) as n from s group by 1, 2)
-    select f.pixel, f.day, round(sum(v), 4) as daily_accumulation, round(count(v) / 24.0, 6) as valid_fraction, any_value(c.n) >= 20 as is_complete
+    select f.pixel, f.day, round(sum(v), 8) as daily_accumulation, round(count(v) / 24.0, 6) as valid_fraction, any_value(c.n) >= 20 as is_complete
     from f join c on f.pixel = c.pixel and f.day = c.day group by 1, 2"""
 )
 def daily_accumulation(spark: SparkSession, d: str) -> DataFrame:
@@ -99,7 +99,7 @@ def daily_accumulation(spark: SparkSession, d: str) -> DataFrame:
     filled = accumulate.gap_filled(x, ["pixel"], "rate", 24, "linear", max_gap_steps=0)
     amounts = accumulate.daily_accumulation(filled, ["pixel"], "rate", 1.0, 24)
     report = accumulate.completeness(x, "gsmap", ["pixel"]).select("pixel", "day", "is_complete")
-    return amounts.join(report, ["pixel", "day"]).select("pixel", "day", F.round("daily_accumulation", 4).alias("daily_accumulation"), r6("valid_fraction").alias("valid_fraction"), "is_complete")
+    return amounts.join(report, ["pixel", "day"]).select("pixel", "day", F.round("daily_accumulation", 8).alias("daily_accumulation"), r6("valid_fraction").alias("valid_fraction"), "is_complete")
 
 
 @query(
