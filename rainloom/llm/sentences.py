@@ -141,7 +141,7 @@ def with_marks(df: DataFrame, text: str, out: str) -> DataFrame:
     # Thai: a blank ends a sentence unless it touches a figure, a bracket or a separator
     no = "\\s\\p{N}()\\[\\]（）·|›–—©•*\\-"
     free = f"(?![^{_OPEN}{_CLOSE}{_OPEN_LED}{_CLOSE_LED}{_BREAK}]{{0,{QUOTE}}}+[{_CLOSE}{_CLOSE_LED}])"
-    x.swap((f" (?:(?<=[\\u0E00-\\u0E7F] )(?=[^{no}])|(?<=[^{no}] )(?=[\\u0E00-\\u0E7F])){free}", f" {_CUT}"), has="านรกเ", where="[\\u0E00-\\u0E7F] | [\\u0E00-\\u0E7F]")
+    x.swap((f" (?:(?<=[\\u0E00-\\u0E7F] )(?=[^{no}])|(?<=[^{no}] )(?=[\\u0E00-\\u0E7F])){free}", f" {_CUT}"), where="[\\u0E00-\\u0E7F] | [\\u0E00-\\u0E7F]")
     x.swap((f"\\n[{_BREAK}]*+", f"$0{_CUT}"), has="\n")
     x.swap((f"[\\r\\u0085\\u2028\\u2029\\u000B\\f](?![{_BREAK}{_CUT}])", f"$0{_CUT}"), has="\r\u0085\u2028\u2029\x0b\f")
     return x.df
