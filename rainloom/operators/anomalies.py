@@ -1,8 +1,9 @@
 """Implausible readings of a source (problem 3).
 
 An isolation forest per source scores every reading on four features: level, difference to the reading
-before, departure from the hour's usual level, and length of the run of equal values.  Explicit rules then
-say what a scored reading is: physically impossible, stuck or a spike.
+before, departure from the hour's usual level, and length of the run of equal values.  Explicit rules alone
+say what a reading is: physically impossible, stuck or a spike.  The score ranks readings and decides nothing:
+in sources with few runs it is mostly chance.
 
 Sequence features need the order in time.  Sources are cut into blocks of days, runs are found inside a
 block, and the runs that touch a block's edge are joined up on a small table of edge runs; so no task holds
@@ -22,8 +23,6 @@ BLOCK_US = 10 * 86_400_000_000
 #: Readings of a source that its forest is fitted on, at most.
 SAMPLE = 256
 TREES, TREE_SIZE = 32, 128
-#: Score from which a reading is a candidate.  Low on purpose: the rules decide, the forest narrows.
-SCORE = 0.45
 FEATURES = ["level", "difference", "seasonal", "run"]
 
 
@@ -90,8 +89,8 @@ def run_lengths(readings: DataFrame, block_us: int = BLOCK_US) -> DataFrame:
     """Readings (row_id, source, time, value) with ``repeated``, ``previous``, ``head``, ``run`` and ``block``.
 
     ``run`` is how many readings of the source in a row, by time, have the same value; a reading delivered
-    again (same time and value) is ``repeated``, belongs to the same run and doesn't count.  ``head`` marks
-    the first of a run in its block.  Equal times with different values are ordered by value.
+    again (same time and value) is ``repeated``, belongs to the same run and doesn't count.  ``previous`` is the
+    value of the reading before, also over a block's edge.  ``head`` marks the first of a run in its block.  Equal times with different values are ordered by value.
     ``source`` may be any number of columns, named ``s_*``.
     """
     keys = [c for c in readings.columns if c.startswith("s_")]
@@ -110,12 +109,14 @@ def run_lengths(readings: DataFrame, block_us: int = BLOCK_US) -> DataFrame:
     joins = (F.lag("value").over(wk) == F.col("value")) & (F.lag("block").over(wk) != F.col("block"))
     edge = edge.withColumn("__new", F.coalesce((~joins).cast("int"), F.lit(1)))
     edge = edge.withColumn("__run", F.sum("__new").over(wk.rowsBetween(Window.unboundedPreceding, 0)))
-    edge = edge.withColumn("merged", F.sum("own").over(Window.partitionBy(*keys, "__run"))).where("merged > own")
-    edge = edge.select(*[F.col(k).alias(f"e_{k}") for k in keys], F.col("block").alias("e_block"), F.col("island").alias("e_island"), "merged")
+    # the edge run before a block's first run is the last one of the block before
+    edge = edge.withColumn("before", F.when(F.col("island") == 1, F.lag("value").over(wk)))
+    edge = edge.withColumn("merged", F.sum("own").over(Window.partitionBy(*keys, "__run"))).where("merged > own or before is not null")
+    edge = edge.select(*[F.col(k).alias(f"e_{k}") for k in keys], F.col("block").alias("e_block"), F.col("island").alias("e_island"), "merged", "before")
     on = (F.col("block") == F.col("e_block")) & (F.col("island") == F.col("e_island"))
     for k in keys:
         on = on & (F.col(k) == F.col(f"e_{k}"))
-    return x.join(edge, on, "left").select(*readings.columns, "us", "block", "repeated", "head", F.col("__pv").alias("previous"), F.coalesce("merged", "own").alias("run"))
+    return x.join(edge, on, "left").select(*readings.columns, "us", "block", "repeated", "head", F.coalesce("__pv", "before").alias("previous"), F.coalesce("merged", "own").alias("run"))
 
 
 def spike_levels(rows: DataFrame, keys: list[str], factor: float = 4.0) -> DataFrame:
@@ -138,15 +139,15 @@ def spike_levels(rows: DataFrame, keys: list[str], factor: float = 4.0) -> DataF
     return x.where(gap & rare).groupBy(*keys).agg(F.min("low").alias("spike_from"))
 
 
-def implausible(readings: DataFrame, limits: dict[str, float], stuck_run: int = 10, factor: float = 4.0, score: float = SCORE, sample: int = SAMPLE) -> DataFrame:
+def implausible(readings: DataFrame, limits: dict[str, float], stuck_run: int = 10, factor: float = 4.0, sample: int = SAMPLE) -> DataFrame:
     """Every reading with its score and what is wrong with it.
 
     readings: (row_id, poste, field, time, value), values in the unit of ``limits``, the largest possible
     value of each field.  Result: readings' columns, score, impossible, stuck, spike, anomaly.  Readings whose
     value is NULL or NaN, or without time, station or field, are skipped; a field without a limit has only the
-    lower one, zero.  Repeated deliveries share one verdict.  ``anomaly`` is impossible, or a rule that holds for
-    a reading whose score is at least ``score``.  The forest of a source is fitted on at most ``sample`` heads of
-    its runs, picked by hash; every reading is scored.
+    lower one, zero.  Repeated deliveries share one verdict.  ``anomaly`` is impossible, stuck or spike, whatever
+    the score.  The forest of a source is fitted on at most ``sample`` heads of its runs, picked by hash; every
+    reading is scored.
     """
     keys = ["s_poste", "s_field"]
     x = readings.where("row_id is not null and poste is not null and field is not null and time is not null and value is not null and not isnan(value)").select(
@@ -178,5 +179,5 @@ def implausible(readings: DataFrame, limits: dict[str, float], stuck_run: int =
     x = x.join(scored.select(F.col("row_id").alias("x_id"), "score"), F.col("row_id") == F.col("x_id"), "left")
     return x.select(
         "row_id", F.col("s_poste").alias("poste"), F.col("s_field").alias("field"), "time", "value", "score", "impossible", "stuck", "spike",
-        (F.col("impossible") | ((F.col("stuck") | F.col("spike")) & (F.col("score") >= score))).alias("anomaly"),
+        (F.col("impossible") | F.col("stuck") | F.col("spike")).alias("anomaly"),
     )

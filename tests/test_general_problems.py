@@ -131,6 +131,21 @@ def test_runs_across_blocks_and_repeats(spark):
     assert all(got[i][0] == 300 for i in range(50, 350)) and got[1000] == (300, True) and got[3][0] == 1
 
 
+def test_rules_hold_whatever_the_score(spark):
+    values = ([0.7] * 12 + [0.0]) * 30  # stuck runs are the usual thing here, so the forest finds them plain
+    got = anomalies.implausible(spark.createDataFrame(_readings(spark, values), IMPL), {"rr6": 150.0}).collect()
+    assert len(got) == len(values) and min(r.score for r in got if r.stuck) < 0.45
+    assert {r.row_id for r in got if r.anomaly} == {i for i, v in enumerate(values) if v > 0}
+
+
+def test_previous_across_blocks(spark):
+    values = [0.0, 2.0, 2.0, 5.0, 1.0, 1.0, 1.0, 3.0]  # blocks of two readings, a block of one run among them
+    rows = [(i, p, minutes(720 * i), v + p) for p in (1, 2) for i, v in enumerate(values)]
+    x = spark.createDataFrame(rows, "row_id long, s_p long, time timestamp_ntz, value double")
+    got = {(r.s_p, r.row_id): r.previous for r in anomalies.run_lengths(x, block_us=86_400_000_000).collect()}
+    assert got == {(p, i): values[i - 1] + p if i else None for p in (1, 2) for i in range(len(values))}
+
+
 def test_isolation_scores():
     rng = np.random.default_rng(0)
     s = rng.normal(0, 1, (200, 4))
