@@ -122,20 +122,28 @@ def run_lengths(readings: DataFrame, block_us: int = BLOCK_US) -> DataFrame:
 def spike_levels(rows: DataFrame, keys: list[str], factor: float = 4.0) -> DataFrame:
     """Per source the level from which readings are spikes: (keys, spike_from); sources without are left out.
 
-    A spike is at least ``factor`` times every reading that is no case.  The readings above zero are reduced
-    to one row per power of two before anything is shuffled: a gap of factor four or more always lies between
-    two such rows.  Readings above a gap are spikes only while they are the exception: at most a third of
-    the source's readings above zero, or a single one.  Of several such gaps the lowest counts.
+    A spike is at least ``factor`` times every reading that is no case.  The readings are reduced to one row
+    per power of two, and one for those not above zero, before anything is shuffled: a gap of factor four or
+    more always lies between two such rows.  Readings above a gap are spikes while they are the exception: a
+    single one; at most a third of the source's readings above zero; or, zeros being readings as well, at most
+    a twentieth of all its readings, a third where the gap is ``factor`` squared or wider.  Of several such gaps
+    the lowest counts.
     """
     if factor < 2:
         raise ValueError("factor must be at least 2")
-    octave = F.floor(F.log2("value"))
-    level = rows.where("value > 0").groupBy(*keys, octave.alias("octave")).agg(F.min("value").alias("low"), F.max("value").alias("high"), F.count("*").alias("n"))
+    octave = F.when(F.col("value") > 0, F.floor(F.log2("value")))
+    level = rows.groupBy(*keys, octave.alias("octave")).agg(F.min("value").alias("low"), F.max("value").alias("high"), F.count("*").alias("n"))
+    level = level.withColumn("high", F.when(F.col("octave").isNotNull(), F.col("high")))
     w = Window.partitionBy(*keys).orderBy("octave")
     up, all_ = w.rowsBetween(0, Window.unboundedFollowing), Window.partitionBy(*keys)
-    x = level.select(*keys, "low", F.lag("high").over(w).alias("below"), F.sum("n").over(up).alias("above"), F.sum("n").over(all_).alias("total"))
+    x = level.select(
+        *keys, "octave", "low", F.lag("high").over(w).alias("below"), F.sum("n").over(up).alias("above"), F.sum("n").over(all_).alias("total"),
+        F.sum(F.when(F.col("octave").isNotNull(), F.col("n"))).over(all_).alias("positive"),
+    ).where("octave is not null")
     gap = F.col("low") >= factor * F.coalesce("below", F.lit(0.0))
-    rare = (F.col("above") == 1) | (F.col("above") * 3 <= F.col("total")) & F.col("below").isNotNull()
+    wide = F.col("low") >= factor * factor * F.col("below")
+    few = (F.col("above") * 3 <= F.col("positive")) | (F.col("above") * 20 <= F.col("total")) | wide & (F.col("above") * 3 <= F.col("total"))
+    rare = (F.col("above") == 1) | few & F.col("below").isNotNull()
     return x.where(gap & rare).groupBy(*keys).agg(F.min("low").alias("spike_from"))
 
 

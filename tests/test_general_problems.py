@@ -138,6 +138,16 @@ def test_rules_hold_whatever_the_score(spark):
     assert {r.row_id for r in got if r.anomaly} == {i for i, v in enumerate(values) if v > 0}
 
 
+def test_two_spikes_among_few_positive_readings(spark):
+    cases = {  # readings above zero, zeros, and the level from which they are spikes
+        1: ([0.2, 24.8, 42.9], 77, 24.8), 2: ([0.2, 0.4, 30.0, 35.0], 20, 30.0), 3: ([0.1, 0.2, 0.3, 9.0, 50.0], 40, 9.0), 4: ([0.6, 4.5, 5.0], 117, 4.5),
+        5: ([0.1] + [0.4, 0.5, 0.8] * 13, 40, None), 6: ([0.2, 0.2], 100, None), 7: ([0.1, 0.1, 0.2, 7.0], 0, 7.0),
+    }
+    rows = [(p, float(v)) for p, (positive, zeros, _) in cases.items() for v in positive + [0.0] * zeros]
+    got = {r.s_p: r.spike_from for r in anomalies.spike_levels(spark.createDataFrame(rows, "s_p long, value double"), ["s_p"]).collect()}
+    assert got == {p: level for p, (_, _, level) in cases.items() if level is not None}
+
+
 def test_previous_across_blocks(spark):
     values = [0.0, 2.0, 2.0, 5.0, 1.0, 1.0, 1.0, 3.0]  # blocks of two readings, a block of one run among them
     rows = [(i, p, minutes(720 * i), v + p) for p in (1, 2) for i, v in enumerate(values)]
