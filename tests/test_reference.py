@@ -118,6 +118,24 @@ def test_quantiles_by_rank_equal_numpy(spark):
     assert np.allclose(fusion.exact_quantiles(df, ["x"], q)["x"], np.quantile(v, q))
 
 
+def test_parts_query_equals_numpy_with_all_quantiles(spark):
+    from rainloom.plans import reference
+
+    d, q = "/root/testdata/sf0.001", np.linspace(0, 1, 10_000, endpoint=False)
+    g = reference.grid(spark, d).toPandas().sort_values(["time", "lat", "lon"])
+    radar, sat = g["radar"].to_numpy(float), g["sat"].to_numpy(float)
+
+    def part(at):
+        x, y = np.quantile(sat, at), np.quantile(radar, at)
+        p = np.polyfit(x, y, 2)
+        return np.polyval(p if p[0] >= 0 else np.polyfit(x, y, 1), sat)
+
+    up = (1 + np.tanh(20 * (sat - np.quantile(sat, 0.75)))) / 2
+    want = np.maximum(part(q * 0.75) * (1 - up) + part(0.75 + q * 0.25) * up, 0)
+    got = reference.quantile_match_by_parts(spark, d).toPandas().sort_values(["time", "lat", "lon"])["sat_matched"].to_numpy(float)
+    assert len(got) == len(want) and np.abs(got - want).max() < 2e-4
+
+
 def test_fits():
     x = np.linspace(0, 5, 50)
     assert np.allclose(fusion.fit_quadratic(x, 2 * x * x + x + 1), [2, 1, 1])
