@@ -29,6 +29,13 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return regular_grid.missing_slots(grid_of_deployments(spark, folder, common_units=False))
 
 
+def p1_status(spark: SparkSession, folder: str) -> DataFrame:
+    """Every slot with its status; the value where it was observed, as recorded."""
+    grid = grid_of_deployments(spark, folder, common_units=False)
+    value = F.when(F.col("status") == "observed", F.round("value", 6))
+    return grid.select("deployment_id", "poste", "field", "slot_epoch", "n_readings", "status", value.alias("value"))
+
+
 def implausible_records(spark: SparkSession, folder: str) -> DataFrame:
     mf, deployments = table(spark, folder, "mf_data"), table(spark, folder, "deployments")
     conversions = units.UnitGraph.from_codes(table(spark, folder, "unit_codes")).table(spark, ["mm"])
@@ -66,6 +73,7 @@ def p6_records(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "p1_found": p1_found,
     "p1_grid": grid_of_deployments,
+    "p1_status": p1_status,
     "p3_found": p3_found,
     "p4_found": p4_found,
     "p5_found": p5_found,
@@ -75,6 +83,34 @@ QUERIES = {
 }
 
 ORACLE = {
+    # slots of a deployment in a block of 8 days; windows of 12 slots begin every 4 and at the end
+    "p1_status": """
+        with d as (
+          select deployment_id, poste, field, cast(step_min as bigint) * 60000000 as s, epoch_us(active_from) as a,
+                 (epoch_us(active_to) - epoch_us(active_from)) // (cast(step_min as bigint) * 60000000) as n
+          from deployments where field in ('precipitation', 'rain_rate')),
+        slots as (
+          select *, row_number() over (partition by deployment_id, block order by b) - 1 as i, count(*) over (partition by deployment_id, block) as m
+          from (select deployment_id, poste, field, s, a + k * s as b, (a + k * s) // 691200000000 as block from d, unnest(range(0, n)) as u(k))),
+        r as (
+          select poste, 'precipitation' as field, epoch_us(time) as us, precipitation as v from gauge_series where precipitation >= 0 and not isnan(precipitation)
+          union all
+          select poste, 'rain_rate', epoch_us(time), rain_rate from radar_rain where rain_rate >= 0 and not isnan(rain_rate)),
+        c as (
+          select t.deployment_id, t.poste, t.field, t.block, t.b, t.i, t.m, count(r.v) as n, avg(r.v) as v
+          from slots t left join r on r.poste = t.poste and r.field = t.field and r.us >= t.b and r.us < t.b + t.s
+          group by all),
+        w as (
+          select deployment_id, block, least(4 * j, greatest(m - 12, 0)) as first
+          from (select deployment_id, block, any_value(m) as m from c group by all), unnest(range(0, (greatest(m - 12, 0) + 3) // 4 + 1)) as u(j)),
+        good as (
+          select w.deployment_id, w.block, w.first from w join c on c.deployment_id = w.deployment_id and c.block = w.block and c.i between w.first and w.first + 11 and c.n > 0
+          group by all having count(*) >= 3)
+        select deployment_id, poste, field, cast(b // 1000000 as bigint) as slot_epoch, cast(n as integer) as n_readings,
+               case when n > 0 then 'observed' when exists (select 1 from good g where g.deployment_id = c.deployment_id and g.block = c.block and c.i between g.first and g.first + 11)
+                 then 'filled' else 'unsupported' end as status,
+               round(v, 6) as value
+        from c""",
     "p1_found": """
         with d as (
           select poste, field, step_min, epoch_us(active_from) as a,

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Most rows a side may have before it is joined by shuffle instead of broadcast.
-BROADCAST_ROWS = 200_000
+#: Most rows and bytes a side may have before it is joined by shuffle instead of broadcast.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 32 << 20
 
 
 def local_session(name: str = "rainloom", cores: int | str = 8, partitions: int = 8) -> SparkSession:
@@ -30,23 +31,43 @@ def local_session(name: str = "rainloom", cores: int | str = 8, partitions: int
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` written to the shared checkpoint folder, its lineage cut.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; only where none is set (tests on
-    one machine) a temporary one is chosen.
+    The folder is the one the cluster names in ``spark.checkpoint.dir``.  Where none is set a temporary one is
+    chosen if the session runs on one machine; on a cluster that would be a folder of the driver alone, so it
+    is an error there.
     """
     spark = df.sparkSession
     if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="rainloom-checkpoint-"))
     return df.checkpoint(eager=True)
 
 
-def fits(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """Whether ``df`` has at most ``rows`` rows; reads no more than it has to."""
-    return df.limit(rows + 1).count() <= rows
+def _row_bytes(df: DataFrame) -> "F.Column":
+    """Bytes that a row of ``df`` holds, about: eight a number or time, texts and nested values by their length."""
+    total = F.lit(16)
+    for name, kind in df.dtypes:
+        c = F.col(f"`{name}`")
+        if kind in ("string", "binary"):
+            total = total + F.coalesce(F.octet_length(c), F.lit(0))
+        elif re.fullmatch(r"array<(?!string|binary|array|struct|map)\w+>", kind):
+            total = total + F.greatest(F.size(c), F.lit(0)) * 8
+        elif kind.startswith(("array", "struct", "map")):
+            total = total + F.coalesce(F.octet_length(F.to_json(F.struct(c))), F.lit(0))
+        else:
+            total = total + 8
+    return total
 
 
-def small_or_shuffled(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+def fits(df: DataFrame, rows: int = BROADCAST_ROWS, most_bytes: int = BROADCAST_BYTES) -> bool:
+    """Whether ``df`` has at most ``rows`` rows of together at most ``most_bytes``; reads no more than it has to."""
+    n, size = df.limit(rows + 1).select(_row_bytes(df).cast("long").alias("b")).agg(F.count("*"), F.coalesce(F.sum("b"), F.lit(0))).first()
+    return n <= rows and size <= most_bytes
+
+
+def small_or_shuffled(df: DataFrame, rows: int = BROADCAST_ROWS, most_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """``df`` marked for broadcast when it was counted to be small, else left to a shuffle join."""
-    return F.broadcast(df) if fits(df, rows) else df
+    return F.broadcast(df) if fits(df, rows, most_bytes) else df
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:

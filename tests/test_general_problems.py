@@ -2,13 +2,16 @@
 
 import datetime as dt
 import math
+import os
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from rainloom.functions.tree_edit import Node, assignment, edit_script
 from rainloom.functions.unit_text import unit_of, unit_said
 from rainloom.operators import anomalies, near, regular_grid, schema_drift, units
+from rainloom.session import table
 
 T = dt.datetime(2024, 9, 1)
 READ = "poste long, field string, time timestamp_ntz, value double"
@@ -19,17 +22,42 @@ def minutes(n):
     return T + dt.timedelta(minutes=n)
 
 
-def test_als_keeps_observed_and_marks_unsupported():
+def test_als_restores_low_rank_and_marks_unsupported():
     rng = np.random.default_rng(3)
-    true = rng.random((12, 1)) @ rng.random((1, 20)) * 5
+    true = rng.normal(0, 1, (60, 2)) @ rng.normal(0, 1, (2, 20)) + 3
     m = true.copy()
     m[rng.random(m.shape) < 0.3] = np.nan
-    m[5], m[:, 7] = np.nan, np.nan
-    out, fill = regular_grid.als_fill(m, rank=2, ridge=0.01, sweeps=30)
-    seen = ~np.isnan(m)
-    assert (out[seen] == m[seen]).all()
-    assert np.isnan(out[5]).all() and np.isnan(out[:, 7]).all()
-    assert np.abs(out[fill] - true[fill]).mean() < 0.2 * true.mean()
+    m[5] = np.nan
+    got, ok = regular_grid.als_fill(m, rank=3, ridge=0.01, most_sweeps=200, tolerance=1e-9)
+    assert not ok[5] and ok.sum() == 59
+    gap = np.isnan(m) & ok[:, None]
+    assert np.abs(got - true)[gap].mean() < 0.1
+    source = np.repeat([0, 1, 2], [40, 5, 30])
+    v = np.where(rng.random(75) < 0.2, np.nan, np.sin(np.arange(75) / 5) + 2)
+    v[10:30], v[40:45] = np.nan, [1, np.nan, np.nan, np.nan, 2]
+    out, fill = regular_grid.fill_series(source, v)
+    seen = ~np.isnan(v)
+    assert (out[seen] == v[seen]).all() and not fill[seen].any() and (out[fill] >= 0).all()
+    assert np.isnan(out[16:20]).all() and np.isnan(out[41:44]).all() and fill[45:].sum() == (~seen[45:]).sum()
+
+
+@pytest.mark.parametrize("scale", ["sf0.01"])
+def test_withheld_cells_beat_the_source_mean(spark, scale):
+    folder = f"/root/testdata/{scale}"
+    if not os.path.isdir(folder):
+        pytest.skip("no test tables")
+    x = table(spark, folder, "gauge_series").select("poste", F.lit("precipitation").alias("field"), "time", F.col("precipitation").alias("value"))
+    d = table(spark, folder, "deployments").where("field = 'precipitation'")
+    seen = regular_grid.regular_grid(x, d).where("status = 'observed'").toPandas()
+    held = np.random.default_rng(5).random(len(seen)) < 0.1
+    rest = seen[~held].assign(us=seen["slot_epoch"])[["poste", "field", "us", "value", "deployment_id"]]
+    readings = spark.createDataFrame(rest).select("poste", "field", F.timestamp_seconds("us").cast("timestamp_ntz").alias("time"), "value")
+    out = regular_grid.regular_grid(readings, d).toPandas()
+    m = seen[held].merge(out, on=["deployment_id", "poste", "field", "slot_epoch"], suffixes=("", "_got"))
+    m["mean"] = m["deployment_id"].map(rest.groupby("deployment_id")["value"].mean())
+    m = m[m["status_got"] == "filled"].dropna(subset=["mean"])
+    rms = lambda p: float(np.sqrt(((p - m["value"]) ** 2).mean()))
+    assert len(m) > 0.95 * held.sum() and rms(m["value_got"]) < 0.85 * min(rms(m["mean"]), rms(0 * m["value"]))
 
 
 def test_grid_slots(spark):
