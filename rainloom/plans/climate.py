@@ -49,6 +49,13 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return implausible_records(spark, folder).where("anomaly").select(F.col("row_id").alias("obs_id"), "field")
 
 
+def p3_rules(spark: SparkSession, folder: str) -> DataFrame:
+    """Impossible and stuck readings of both fields, values as recorded."""
+    rows = units.mf_readings(table(spark, folder, "mf_data"), ["rr1", "rr6"]).select("row_id", "poste", "field", "time", "value")
+    x = anomalies.implausible(rows, LIMITS).where("impossible or stuck")
+    return x.select(F.col("row_id").alias("obs_id"), "field", "impossible", "stuck")
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     pairs = near.near_pairs(near.station_positions(table(spark, folder, "station_metadata")), 2000.0)
     return pairs.select(F.col("id_a").alias("poste_a"), F.col("id_b").alias("poste_b"))
@@ -75,6 +82,7 @@ QUERIES = {
     "p1_grid": grid_of_deployments,
     "p1_status": p1_status,
     "p3_found": p3_found,
+    "p3_rules": p3_rules,
     "p4_found": p4_found,
     "p5_found": p5_found,
     "p5_values": harmonised_values,
@@ -83,6 +91,17 @@ QUERIES = {
 }
 
 ORACLE = {
+    "p3_rules": """
+        with x as (
+          select obs_id, poste, field, epoch_us(time) as us, round(value, 9) as v, case when field = 'rr1' then 500 else 150 end as most
+          from (select obs_id, poste, 'rr1' as field, time, rr1 as value from mf_data union all select obs_id, poste, 'rr6', time, rr6 from mf_data)
+          where value is not null and not isnan(value) and time is not null and poste is not null),
+        y as (select *, lag(v) over w as pv, lag(us) over w as pu from x window w as (partition by poste, field order by us, v, obs_id)),
+        z as (select *, sum(case when pv is distinct from v then 1 else 0 end) over (partition by poste, field order by us, v, obs_id rows unbounded preceding) as island,
+                     coalesce(pv = v and pu = us, false) as repeated from y),
+        r as (select *, sum(case when repeated then 0 else 1 end) over (partition by poste, field, island) as run, v < 0 or v > most as impossible from z),
+        f as (select obs_id, field, impossible, run >= 10 and v > 0 and not impossible as stuck from r)
+        select * from f where impossible or stuck""",
     # slots of a deployment in a block of 8 days; windows of 12 slots begin every 4 and at the end
     "p1_status": """
         with d as (

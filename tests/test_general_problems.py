@@ -5,11 +5,14 @@ import math
 import os
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from rainloom.functions import forest
 from rainloom.functions.tree_edit import Node, assignment, edit_script
 from rainloom.functions.unit_text import unit_of, unit_said
+from rainloom.functions.whole_groups import whole_groups
 from rainloom.operators import anomalies, near, regular_grid, schema_drift, units
 from rainloom.session import table
 
@@ -153,43 +156,72 @@ def test_implausible_rules(spark):
 
 def test_runs_across_blocks_and_repeats(spark):
     n = 400  # a run that crosses several blocks of one day
-    rows = [(i, 1, minutes(12 * i), 1.5 if 50 <= i < 350 else float(i % 3)) for i in range(n)] + [(1000, 1, minutes(12 * 60), 1.5)]
-    x = spark.createDataFrame(rows, "row_id long, s_p long, time timestamp_ntz, value double")
-    got = {r.row_id: (r.run, r.repeated) for r in anomalies.run_lengths(x, block_us=86_400_000_000).collect()}
-    assert all(got[i][0] == 300 for i in range(50, 350)) and got[1000] == (300, True) and got[3][0] == 1
+    rows = [(i, 1, "rr6", minutes(12 * i), 1.5 if 50 <= i < 350 else float(i % 3)) for i in range(n)] + [(1000, 1, "rr6", minutes(12 * 60), 1.5)]
+    x = spark.createDataFrame(rows, IMPL)
+    stuck = lambda run, **kw: {r.row_id for r in anomalies.implausible(x, {"rr6": 150.0}, stuck_run=run, **kw).collect() if r.stuck}
+    assert stuck(300, block_us=86_400_000_000) == {*range(50, 350), 1000} and stuck(301, block_us=86_400_000_000) == set()
+
+
+def test_blocks_change_nothing(spark):
+    rng = np.random.default_rng(4)
+    values = np.round(rng.gamma(0.3, 2, 900), 1)
+    rows = [(i, i % 3, "rr6", minutes(37 * i), float(v)) for i, v in enumerate(values)] + [(2000, 0, "rr6", minutes(0), float(values[0])), (2001, 9, "rr1", T, 5.0)]
+    x = spark.createDataFrame(rows, IMPL)
+    one, two = ({r.row_id: r for r in anomalies.implausible(x, {"rr6": 150.0}, block_us=b * 86_400_000_000).collect()} for b in (1, 30))
+    assert one == two and len(one) == 902 and one[2000].score == one[0].score and one[2000].time == rows[0][3]
+    assert anomalies.implausible(x.limit(0), {"rr6": 150.0}).count() == 0
 
 
 def test_rules_hold_whatever_the_score(spark):
     values = ([0.7] * 12 + [0.0]) * 30  # stuck runs are the usual thing here, so the forest finds them plain
     got = anomalies.implausible(spark.createDataFrame(_readings(spark, values), IMPL), {"rr6": 150.0}).collect()
-    assert len(got) == len(values) and min(r.score for r in got if r.stuck) < 0.45
+    assert len(got) == len(values) and min(r.score for r in got if r.stuck) < 0.5
     assert {r.row_id for r in got if r.anomaly} == {i for i, v in enumerate(values) if v > 0}
 
 
 def test_two_spikes_among_few_positive_readings(spark):
-    cases = {  # readings above zero, zeros, and the level from which they are spikes
-        1: ([0.2, 24.8, 42.9], 77, 24.8), 2: ([0.2, 0.4, 30.0, 35.0], 20, 30.0), 3: ([0.1, 0.2, 0.3, 9.0, 50.0], 40, 9.0), 4: ([0.6, 4.5, 5.0], 117, 4.5),
-        5: ([0.1] + [0.4, 0.5, 0.8] * 13, 40, None), 6: ([0.2, 0.2], 100, None), 7: ([0.1, 0.1, 0.2, 7.0], 0, 7.0),
-    }
-    rows = [(p, float(v)) for p, (positive, zeros, _) in cases.items() for v in positive + [0.0] * zeros]
-    got = {r.s_p: r.spike_from for r in anomalies.spike_levels(spark.createDataFrame(rows, "s_p long, value double"), ["s_p"]).collect()}
-    assert got == {p: level for p, (_, _, level) in cases.items() if level is not None}
-
-
-def test_previous_across_blocks(spark):
-    values = [0.0, 2.0, 2.0, 5.0, 1.0, 1.0, 1.0, 3.0]  # blocks of two readings, a block of one run among them
-    rows = [(i, p, minutes(720 * i), v + p) for p in (1, 2) for i, v in enumerate(values)]
-    x = spark.createDataFrame(rows, "row_id long, s_p long, time timestamp_ntz, value double")
-    got = {(r.s_p, r.row_id): r.previous for r in anomalies.run_lengths(x, block_us=86_400_000_000).collect()}
-    assert got == {(p, i): values[i - 1] + p if i else None for p in (1, 2) for i in range(len(values))}
-
-
-def test_isolation_scores():
+    cases = [([24.8, 42.9], [0.2], 77), ([30.0, 35.0], [0.2, 0.4], 20), ([9.0, 50.0], [0.1, 0.2, 0.3], 40), ([4.5, 5.0], [0.6], 117), ([7.0], [0.1, 0.1, 0.2], 9)]
+    rows = []
+    for p, (spikes, rest, zeros) in enumerate(cases):
+        values = [0.0] * (zeros + len(spikes) + len(rest))
+        for i, v in enumerate(spikes + rest):
+            values[5 + i * (len(values) - 6) // len(spikes + rest)] = v
+        rows += _readings(spark, values, 1000 * p, p)
+    got = anomalies.implausible(spark.createDataFrame(rows, IMPL), {"rr6": 150.0}).collect()
+    for p, (spikes, _, _) in enumerate(cases):
+        assert sorted(r.value for r in got if r.spike and r.poste == p) == spikes, [(r.value, r.score) for r in got if r.value > 0 and r.poste == p]
+
+
+def test_the_score_decides_about_a_gap(spark):
+    level = lambda p, score, above, below=3, zeros=40: [(p, None, 0.0, 0.0, zeros, 0.4 * zeros), (p, -2, 0.3, 0.4, below, 0.45 * below), (p, 4, 16.0, 20.0, above, score * above)]
+    rows = [*level(1, 0.7, 2), *level(2, 0.5, 2), *level(3, 0.7, 8), *level(4, 0.7, 2, zeros=0), *level(5, 0.9, 1, below=0)]
+    rows = [r for r in rows if r[4]]
+    got = {r.s_p: r.spike_from for r in anomalies.spike_levels(spark.createDataFrame(rows, "s_p long, octave long, low double, high double, n long, total double"), ["s_p"]).collect()}
+    assert got == {1: 16.0, 4: 16.0, 5: 16.0}
+
+
+def test_isolation_forest():
     rng = np.random.default_rng(0)
-    s = rng.normal(0, 1, (200, 4))
-    scores = anomalies.isolation_scores(s, np.vstack([s, [[9, 9, 9, 9]]]))
-    assert scores[-1] > np.quantile(scores[:-1], 0.99) and (scores > 0).all() and (scores < 1).all()
-    assert (anomalies.isolation_scores(s[:1], s) == 0.5).all()
+    s = np.vstack([rng.normal(0, 1, (200, 4)), rng.normal(5, 1, (150, 4)), [[1, 1, 1, 1.0]]])
+    sizes = np.array([200, 150, 1])
+    far = np.array([[9, 9, 9, 9.0]])
+    low, high = np.array([[-4.0] * 4, [1.0] * 4, [1.0] * 4]), np.array([[9.0] * 4, [8.0] * 4, [1.0] * 4])
+    seeds = np.array([5, 6, 7])
+    whole = forest.grow(s, sizes, low, high, seeds)
+    score = forest.scores(np.vstack([s[:200], far]), np.zeros(201, int), *whole)
+    assert score[-1] > score[:-1].max() and (score > 0).all() and (score < 1).all()
+    alone = forest.grow(s[200:350], sizes[1:2], low[1:2], high[1:2], seeds[1:2])
+    assert all((a[1] == b[0]).all() for a, b in zip(whole, alone))  # whatever the batch
+
+
+def test_whole_groups():
+    keys = np.repeat([0, 1, 2, 3, 9], [3, 50, 1, 7, 40])
+    x = pd.DataFrame({"k": keys, "v": range(len(keys))})
+    for size in (1, 4, 33, 200):
+        parts = list(whole_groups((x.iloc[i : i + size] for i in range(0, len(x), size)), ["k"], 10))
+        assert pd.concat(parts)["v"].tolist() == list(range(len(x)))
+        assert sum(p["k"].nunique() for p in parts) == 5
+    assert list(whole_groups(iter([x.iloc[:0]]), ["k"])) == []
 
 
 def test_assignment_and_edit_script():
