@@ -40,7 +40,13 @@ def p7_percentiles(spark: SparkSession, folder: str) -> DataFrame:
 
 def p7_daily(spark: SparkSession, folder: str) -> DataFrame:
     """Percentiles of each day over all cells, and over all stations."""
-    return rank_sketch.percentiles(rank_sketch.merged(rank_sketch.merged(_sketches(spark, folder), ["kind", "key", "day"]), ["kind", "day"]))
+    return rank_sketch.percentiles(rank_sketch.merged(_sketches(spark, folder), ["kind", "day"]))
+
+
+def p7_bounds(spark: SparkSession, folder: str) -> DataFrame:
+    """Percentiles of each grid cell held against exact ranks over all its values."""
+    values = rank_sketch.imerg_values(table(spark, folder, "imerg_grid"))
+    return rank_sketch.rank_checks(values, rank_sketch.percentiles(rank_sketch.merged(rank_sketch.day_sketches(values), ["kind", "key"])))
 
 
 def p8_containers(spark: SparkSession, folder: str) -> DataFrame:
@@ -51,13 +57,33 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return leaks.leaked_items(_text_rows(spark, folder, "doc_id", "text"), table(spark, folder, "benchmark")).select("doc_id", "item_id")
 
 
+def p10_restored(spark: SparkSession, folder: str) -> DataFrame:
+    """Each document put together again from its units, blanks aside: number of characters and a digest."""
+    x = sentence_units.sentences(_text_rows(spark, folder, "doc_id", "text"))
+    x = x.withColumn("sentence", F.translate("sentence", sentence_units.BLANKS, ""))
+    whole = F.concat_ws("", F.transform(F.array_sort(F.collect_list(F.struct("start_pos", "sentence"))), lambda u: u["sentence"]))
+    return x.groupBy("doc_id").agg(whole.alias("t")).select("doc_id", F.char_length("t").cast("long").alias("n_chars"), F.md5("t").alias("digest"))
+
+
 def p10_found(spark: SparkSession, folder: str) -> DataFrame:
     return sentence_units.sentences(_text_rows(spark, folder, "doc_id", "text")).select("doc_id", "start_pos", "end_pos")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p7_percentiles, p7_daily, p8_containers, p9_found, p10_found)}
+QUERIES = {f.__name__: f for f in (p2_found, p7_percentiles, p7_daily, p7_bounds, p8_containers, p9_found, p10_found, p10_restored)}
+
+_BLANKS = "' ' || " + " || ".join(f"chr({ord(c)})" for c in sentence_units.BLANKS if c != " ")
 
 ORACLE = {
+    "p7_bounds": f"""
+        with v as (
+          select printf('%.4f,%.4f', lat, lon) as key, time, arg_min(precipitationcal, case when run_type = 'final' then 0 else 1 end) as v
+          from imerg_grid where time is not null and lat is not null and lon is not null and precipitationcal >= 0 and not isnan(precipitationcal)
+          group by key, time)
+        select 'precipitationcal' as kind, key, q, count(*) as n, true as within
+        from v, (select unnest({rank_sketch.QUANTILES!r}) as q) group by key, q""",
+    "p10_restored": f"""
+        select doc_id, cast(length(t) as bigint) as n_chars, md5(t) as digest
+        from (select doc_id, translate(text, {_BLANKS}, '') as t from documents where text is not null) where t <> ''""",
     "p2_found": """
         select obs_id, rate_id from (
           select m.obs_id, r.rate_id,

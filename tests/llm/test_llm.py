@@ -11,7 +11,7 @@ from hypothesis import strategies as st
 
 from rainloom.llm import leaks, packing
 from rainloom.llm.nearest_time import match_nearest_time
-from rainloom.llm.rank_sketch import RankSketch, day_sketches, merged, percentiles, rank_error
+from rainloom.llm.rank_sketch import QUANTILES, RankSketch, TailSketch, day_sketches, merged, percentiles, rank_error
 from rainloom.llm.sentences import sentences
 
 T = dt.datetime(1969, 12, 31, 23, 50)
@@ -43,12 +43,39 @@ def test_sketch_error_and_round_trip():
     assert s.n == len(v) and sum(map(len, s.levels)) < 4_000
     q = [0.1, 0.5, 0.9, 0.99, 0.999, 0.9999]
     rank = np.searchsorted(np.sort(v), s.quantiles(q), "right") / len(v)
-    assert all(abs(a - b) <= rank_error(b) + 2e-5 for a, b in zip(rank, q))
+    assert all(abs(a - b) <= 2 * rank_error(0.5) * (1 - b) + 2e-5 for a, b in zip(rank, q))
     low = RankSketch(low=True).update(v)
     assert abs((v <= low.quantiles([0.001])[0]).mean() - 0.001) < 2e-4
     few = RankSketch().update(np.array([3.0, 1.0, np.nan, 2.0]))
     assert few.n == 3 and few.quantiles([0, 0.34, 0.5, 1]).tolist() == [1, 2, 2, 3]
-    assert np.isnan(RankSketch().quantiles([0.5])).all()
+    few = TailSketch().update(np.array([3.0, 1.0, np.nan, 2.0]))
+    assert few.n == 3 and few.quantiles([0, 0.34, 0.5, 1]).tolist() == [1, 2, 2, 3]
+    assert np.isnan(RankSketch().quantiles([0.5])).all() and np.isnan(TailSketch().quantiles([0.5])).all()
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.integers(0, 30_000), min_size=1, max_size=8), st.integers(0, 99), st.booleans())
+def test_weights_sum_to_the_number_of_values(sizes, seed, low):
+    rng = np.random.default_rng(seed)
+    whole, both = RankSketch(low=low), TailSketch()
+    for n in sizes:
+        v = rng.exponential(1, n)
+        whole.merge(RankSketch.load(RankSketch(low=low).update(v).dump()))
+        both.merge(TailSketch.load(TailSketch().update(v).dump()))
+    assert whole.weight() == whole.n == both.n == sum(sizes)
+    assert both.sides is None or all(s.weight() == s.n for s in both.sides)
+
+
+def test_both_tails_of_many_merged_sketches():
+    rng = np.random.default_rng(5)
+    v = rng.gamma(0.5, 2, 2_000_000)
+    s = TailSketch()
+    for part in np.array_split(v, 2_000):
+        s.merge(TailSketch.load(TailSketch().update(part).dump()))
+    assert all(x.weight() == len(v) for x in s.sides)
+    q = [*QUANTILES, 0.001, 0.0001, 0.9999]
+    rank = np.searchsorted(np.sort(v), s.quantiles(q), "right") / len(v)
+    assert all(abs(a - b) <= rank_error(b) + 1e-6 and rank_error(b) <= b for a, b in zip(rank, q)), [(a, b, rank_error(b)) for a, b in zip(rank, q)]
 
 
 def test_sketches_of_days_merge(spark):
@@ -158,3 +185,18 @@ def test_sentences(spark):
             assert text[i][a:e] == s == s.strip() and not text[i][at:a].strip()
             at = e
         assert not text[i][at:].strip()
+
+
+def test_long_quotations_and_private_characters(spark):
+    long = "It rained. " * 20_000
+    docs = [
+        (1, f"She said “{long}Yes.” and left. The end came."), (2, f"Il a dit « {long}Oui. » hier. Fin."), (3, f'He wrote "{long}Yes." there. The end.'), (4, f"Er rief „{long}Ja.“ laut. Ende."),
+        (5, "One \ue001\ue020. Two \ue010 here."), (6, "One \ue001\U000f0005. Two “a. b” here."), (7, "See www." + "a." * 200 + "org now. Then go."), (8, "\ufffd " + long + "Oui. \ufffd dit-il. Fin."),
+        (9, " " * 30 + "1. First entry. Second"), (10, "â€œ" + long + "Yes.â€\u009d he said. End."), (11, "ฝน“" + "ตก แล้ว " * 2000 + "”มา จบ"),
+    ]
+    got = {}
+    for r in sorted(sentences(spark.createDataFrame(docs, "doc_id long, text string")).collect(), key=lambda r: (r.doc_id, r.start_pos)):
+        got.setdefault(r.doc_id, []).append((r.start_pos, r.end_pos, r.sentence))
+    text = dict(docs)
+    assert all(text[i][a:e] == s for i, units in got.items() for a, e, s in units)
+    assert {i: len(u) for i, u in got.items()} == {i: 2 for i in text}
