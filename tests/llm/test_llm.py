@@ -149,6 +149,43 @@ def test_leaks(spark):
     assert leaks.leaked_items(d.limit(0), b).count() == 0 and leaks.leaked_items(d, b.limit(0)).count() == 0
 
 
+def _unfiltered(item, doc, chars):
+    """Share along every diagonal with enough equal tokens, seeds or not."""
+    dense, margin = leaks.CHARS if chars else leaks.WORDS
+    at = {}
+    for j, w in enumerate(doc.tolist()):
+        at.setdefault(w, []).append(j)
+    n = {}
+    for i, w in enumerate(item.tolist()):
+        for j in at.get(w, ()):
+            n[j - i] = n.get(j - i, 0) + 1
+    return leaks.covered(item, doc, np.array([d for d, k in n.items() if k >= min(dense[0], len(item))], int), dense, margin)
+
+
+def test_leaks_match_an_unfiltered_search(spark):
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(400)]
+    items = [(i, " ".join(rng.choices(words, k=rng.choice([6, 15, 34, 80, 200])))) for i in range(40)]
+    docs = [(1000, None)]
+    for d in range(150):
+        w = rng.choice(items)[1].split()
+        a = rng.randrange(len(w) // 2 + 1)
+        w = w[a : a + rng.randrange(len(w) // 4, len(w) + 1) + 4]
+        kind = rng.random()
+        w = [x for x in w if rng.random() > 0.06] if kind < 0.3 else ["zz" if k % rng.choice([4, 5, 6, 9]) == 3 else x for k, x in enumerate(w)] if kind < 0.7 else w
+        docs.append((d, " ".join(rng.choices(words, k=rng.randrange(200)) + w + rng.choices(words, k=rng.randrange(200)))))
+    want = {(d, i) for d, t in docs if t for i, x in items if _unfiltered(leaks.item_tokens(x)[1], leaks.word_ids(leaks.plain(t)), False) >= leaks.SHARE}
+    got = {(r.doc_id, r.item_id) for r in leaks.leaked_items(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got <= want and len(got) >= 0.99 * len(want) and len(want) > 60
+
+
+def test_long_chains_are_followed_whole():
+    item = np.arange(4000, dtype=np.uint64)
+    doc = np.concatenate([np.r_[item[a : a + 12], 10_000 + np.arange(6, dtype=np.uint64)] for a in range(0, 4000, 12)])
+    at = np.concatenate([np.arange(a // 12 * 18, a // 12 * 18 + 12)[: len(item[a : a + 12])] for a in range(0, 4000, 12)])
+    assert leaks.share_of(item, doc, at, np.arange(len(at)), False) == 1.0
+
+
 CASES = [
     "Dr. Fox saw 3.5 mm at 4 p.m. or later.|It rained, e.g. hail, near www.rain.example.|See fig. 3 and no. 4.|Done!",
     "He left at 5 p.m.|The gauge near Main St. crossing broke.|With R. R. Fox Inc.|Yes…|Why?!|Ok",
