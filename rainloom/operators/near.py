@@ -2,9 +2,11 @@
 
 Points are assigned to the Voronoi cells of pivots drawn from the data, so dense regions get small cells.  A
 point also visits every other cell that could hold a point within the radius of it: with home distance h,
-distance d to the other pivot and radius r that is d <= h + 2r, by the triangle inequality.  Each cell is
-joined locally with a vantage-point tree under the exact great-circle distance.  Cells with many points are
-split into chunks, and every pair of chunks is a task of its own, so no task holds a crowded cell.
+distance d to the other pivot and radius r that is d <= h + 2r, by the triangle inequality.  A cell that is still
+crowded is split again by pivots of its own, points and visitors alike, so pivots form a tree, a point is
+compared with the pivots along its path only, and more points make the tree deeper.  Each leaf is joined locally
+with a vantage-point tree under the exact great-circle distance.  Leaves that no pivots can split (many points
+within twice the radius) are cut into chunks, and every pair of chunks is a task of its own.
 """
 
 from __future__ import annotations
@@ -14,11 +16,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rainloom.session import checkpointed
+from rainloom.session import checkpointed, small_or_shuffled
 
 EARTH_M = 6_371_008.8
-#: Points per pivot, most pivots, and points of one cell that are joined in one task.
-POINTS_PER_PIVOT, MAX_PIVOTS, CHUNK = 512, 16_384, 4_096
+#: Points per pivot, pivots of one cell, pivots of one level (they are broadcast: 2 MB), and points of a cell that
+#: are joined in one task.
+POINTS_PER_PIVOT, CELL_PIVOTS, LEVEL_PIVOTS, CHUNK = 512, 1_024, 65_536, 4_096
+MOST_LEVELS = 8
 
 _NUM = r"(\d+(?:[.,]\d+)?)"
 _PART = rf"([-+−]?){_NUM} ?°? ?(?:{_NUM} ?['′’] ?)?(?:{_NUM} ?(?:\"|″|”|'') ?)?"
@@ -104,39 +108,51 @@ class VantageTree:
         return tuple(np.concatenate(x) for x in zip(*out))  # type: ignore[return-value]
 
 
-def choose_pivots(points: DataFrame, radius: float, n: int, per_pivot: int = POINTS_PER_PIVOT, most: int = MAX_PIVOTS) -> np.ndarray:
-    """Unit vectors of at most ``most`` pivots, drawn by hash, no two nearer than twice the radius."""
-    want = int(min(most, max(1, -(-n // per_pivot))))
-    share = min(1.0, 1.5 * want / max(1, n))
-    drawn = points.where(F.pmod(F.xxhash64("lat", "lon", F.lit(11)), F.lit(1_000_000)) < int(share * 1_000_000) + 1).select("lat", "lon").limit(want).toPandas()
-    if not len(drawn):
-        drawn = points.select("lat", "lon").limit(1).toPandas()
-    drawn = drawn.sort_values(["lat", "lon"]).sample(frac=1.0, random_state=5)
-    xyz = _xyz(drawn["lat"].to_numpy(), drawn["lon"].to_numpy())
+def spread_pivots(lat: np.ndarray, lon: np.ndarray, radius: float, most: int) -> np.ndarray:
+    """Unit vectors of at most ``most`` of the points, no two nearer than twice the radius."""
+    xyz = _xyz(lat, lon)
     keep: list[int] = []
     free = np.ones(len(xyz), bool)
     close = np.cos(min(np.pi, 2 * radius / EARTH_M))
     for i in range(len(xyz)):
         if free[i]:
             keep.append(i)
+            if len(keep) == most:
+                break
             free &= xyz @ xyz[i] < close
-    return xyz[keep] if keep else np.array([[1.0, 0.0, 0.0]])
+    return xyz[keep]
 
 
-def _assigner(pivots: np.ndarray, radius: float):
+def _split(shared, radius: float):
+    """Send the copies of crowded cells to the children of their cell; others go on as they are."""
+
     def run(batches):
+        trees, first = shared.value
         for b in batches:
-            xyz, out = _xyz(b["lat"].to_numpy(), b["lon"].to_numpy()), []
-            for s in range(0, len(b), 1024):
-                dots = np.clip(xyz[s : s + 1024] @ pivots.T, -1.0, 1.0)
-                home = dots.argmax(1)
-                angle = np.arccos(dots[np.arange(len(home)), home])
-                reach = np.cos(np.minimum(np.pi, angle + 2 * radius / EARTH_M + 1e-7))
-                i, cell = np.nonzero(dots >= reach[:, None])
-                out.append(pd.DataFrame({"at": i + s, "cell": cell, "home": home[i]}))
-            x = pd.concat(out) if out else pd.DataFrame({"at": [], "cell": [], "home": []}, dtype="int64")
-            at = x["at"].to_numpy(int)
-            yield pd.DataFrame({"id": b["id"].to_numpy()[at], "lat": b["lat"].to_numpy()[at], "lon": b["lon"].to_numpy()[at], "cell": x["cell"].to_numpy(), "home": x["home"].to_numpy()})
+            cell = b["cell"].to_numpy()
+            at, child, own = [np.zeros(0, int)], [np.zeros(0, np.int64)], [np.zeros(0, bool)]
+            order = np.argsort(cell, kind="stable")
+            cuts = np.append(np.nonzero(np.r_[True, np.diff(cell[order]) != 0])[0], len(cell)) if len(cell) else [0]
+            for a, e in zip(cuts[:-1], cuts[1:]):
+                pivots = trees.get(int(cell[order[a]]))
+                if pivots is None:
+                    rows = order[a:e]
+                    at.append(rows)
+                    child.append(cell[rows])
+                    own.append(b["own"].to_numpy()[rows])
+                    continue
+                base = first[int(cell[order[a]])]
+                for s in range(a, e, 1024):
+                    rows = order[s : min(e, s + 1024)]
+                    dots = np.clip(_xyz(b["lat"].to_numpy()[rows], b["lon"].to_numpy()[rows]) @ pivots.T, -1.0, 1.0)
+                    home = dots.argmax(1)
+                    angle = np.arccos(dots[np.arange(len(home)), home])
+                    i, j = np.nonzero(dots >= np.cos(np.minimum(np.pi, angle + 2 * radius / EARTH_M + 1e-7))[:, None])
+                    at.append(rows[i])
+                    child.append(base + j)
+                    own.append(b["own"].to_numpy()[rows[i]] & (j == home[i]))
+            at = np.concatenate(at)
+            yield pd.DataFrame({"id": b["id"].to_numpy()[at], "lat": b["lat"].to_numpy()[at], "lon": b["lon"].to_numpy()[at], "cell": np.concatenate(child), "own": np.concatenate(own)})
 
     return run
 
@@ -149,16 +165,53 @@ def _join_cell(radius: float):
         tree = VantageTree(index["lat"].to_numpy(), index["lon"].to_numpy())
         i, j, d = tree.within(probe["lat"].to_numpy(), probe["lon"].to_numpy(), radius)
         a, b = probe["id"].to_numpy()[i], index["id"].to_numpy()[j]
-        # two points of this cell meet in both roles, one of another cell only here and in its own
-        cell, home = int(g["cell"].iloc[0]), probe["home"].to_numpy()[i]
-        keep = (a != b) & np.where(home == cell, a < b, home > cell)
-        a, b, d = a[keep], b[keep], d[keep]
-        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "metres": d})
+        # two points meet in each one's own cell, as probe and as its own point in turn: one of the two counts
+        keep = a < b
+        return pd.DataFrame({"a": a[keep], "b": b[keep], "metres": d[keep]})
 
     return run
 
 
-def near_pairs(points: DataFrame, radius: float, per_pivot: int = POINTS_PER_PIVOT, most_pivots: int = MAX_PIVOTS, chunk: int = CHUNK) -> DataFrame:
+def voronoi_cells(points: DataFrame, radius: float, per_pivot: int = POINTS_PER_PIVOT, chunk: int = CHUNK, cell_pivots: int = CELL_PIVOTS, level_pivots: int = LEVEL_PIVOTS) -> DataFrame:
+    """(id, lat, lon, cell, own): each point in the cell of its own and in those it visits, at the leaves of the tree.
+
+    A level splits the most crowded cells, as many as ``level_pivots`` allow; the next level goes on.  A cell that
+    got only one pivot can't be split further.
+    """
+    spark = points.sparkSession
+    placed = points.select("id", "lat", "lon", F.lit(0).cast("long").alias("cell"), F.lit(True).alias("own"))
+    whole, next_cell = {-1}, 1
+    for level in range(MOST_LEVELS):
+        sizes = placed.groupBy("cell").count().where((F.col("count") > chunk) & ~F.col("cell").isin(*whole)) if level else placed.groupBy("cell").count()
+        crowded = sizes.orderBy(F.desc("count"), "cell").limit(max(1, level_pivots // 16)).collect()
+        share, room = [], level_pivots
+        for r in crowded:
+            want = min(cell_pivots, max(2, -(-r["count"] // per_pivot)), room)
+            if want < 2:
+                break
+            room -= want
+            share.append((r["cell"], min(1.0, 1.5 * want / r["count"]), want))
+        if not share:
+            break
+        drawn = placed.join(F.broadcast(spark.createDataFrame(share, "s_cell long, share double, want int")), F.col("cell") == F.col("s_cell"))
+        draw = F.pmod(F.xxhash64("lat", "lon", F.lit(level)), F.lit(1_000_000)) / 1_000_000
+        got = drawn.where(draw < F.col("share")).select("cell", "lat", "lon", draw.alias("draw")).limit(2 * level_pivots).toPandas()
+        wants, trees, first = {c: w for c, _, w in share}, {}, {}
+        for cell, g in got.sort_values(["cell", "draw", "lat", "lon"]).groupby("cell"):
+            pivots = spread_pivots(g["lat"].to_numpy(), g["lon"].to_numpy(), radius, wants[cell])
+            if len(pivots) < 2:
+                whole.add(int(cell))
+                continue
+            trees[int(cell)], first[int(cell)] = pivots, next_cell
+            next_cell += len(pivots)
+        if not trees:
+            break
+        shared = spark.sparkContext.broadcast((trees, first))
+        placed = checkpointed(placed.mapInPandas(_split(shared, radius), "id long, lat double, lon double, cell long, own boolean"))
+    return placed
+
+
+def near_pairs(points: DataFrame, radius: float, per_pivot: int = POINTS_PER_PIVOT, chunk: int = CHUNK, cell_pivots: int = CELL_PIVOTS, level_pivots: int = LEVEL_PIVOTS) -> DataFrame:
     """All pairs of different ids that have positions at most ``radius`` metres apart: (id_a, id_b, metres).
 
     points: (id long, lat, lon in degrees).  id_a < id_b, each pair once with its least distance; an id may have
@@ -166,16 +219,13 @@ def near_pairs(points: DataFrame, radius: float, per_pivot: int = POINTS_PER_PIV
     exactly at the radius are inside.  The result is exact whatever the pivots.
     """
     p = points.where("id is not null and lat is not null and lon is not null").select("id", F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon")).distinct()
-    n = p.count()
-    pivots = choose_pivots(p, radius, n, per_pivot, most_pivots)
-    placed = checkpointed(p.mapInPandas(_assigner(pivots, radius), "id long, lat double, lon double, cell long, home long"))
-    # one row per cell: how many chunks its own points and all its visitors fall into; at most most_pivots rows
-    sizes = placed.groupBy("cell").agg(F.ceil(F.count_if(F.col("home") == F.col("cell")) / chunk).alias("n_index"), F.ceil(F.count("*") / chunk).alias("n_probe"))
-    x = placed.join(F.broadcast(sizes), "cell")
-    own = x.where((F.col("home") == F.col("cell")) & (F.col("n_index") > 0))
-    index = own.withColumn("ci", F.pmod(F.xxhash64("id", "lat", "lon"), F.col("n_index"))).withColumn("cp", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_probe") - 1)))
-    probe = x.where("n_index > 0").withColumn("cp", F.pmod(F.xxhash64("id", "lat", "lon"), F.col("n_probe"))).withColumn("ci", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_index") - 1)))
-    cols = ["cell", "ci", "cp", "id", "lat", "lon", "home"]
+    placed = voronoi_cells(checkpointed(p), radius, per_pivot, chunk, cell_pivots, level_pivots)
+    # one row per cell: how many chunks its own points and all its visitors fall into
+    sizes = placed.groupBy("cell").agg(F.ceil(F.count_if("own") / chunk).alias("n_index"), F.ceil(F.count("*") / chunk).alias("n_probe")).where("n_index > 0")
+    x = placed.join(small_or_shuffled(sizes), "cell")
+    index = x.where("own").withColumn("ci", F.pmod(F.xxhash64("id", "lat", "lon"), F.col("n_index"))).withColumn("cp", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_probe") - 1)))
+    probe = x.withColumn("cp", F.pmod(F.xxhash64("id", "lat", "lon"), F.col("n_probe"))).withColumn("ci", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_index") - 1)))
+    cols = ["cell", "ci", "cp", "id", "lat", "lon"]
     both = index.select(*cols, F.lit(0).alias("role")).unionByName(probe.select(*cols, F.lit(1).alias("role")))
     pairs = both.groupBy("cell", "ci", "cp").applyInPandas(_join_cell(radius), "a long, b long, metres double")
     return pairs.groupBy(F.col("a").alias("id_a"), F.col("b").alias("id_b")).agg(F.min("metres").alias("metres"))

@@ -90,7 +90,33 @@ QUERIES = {
     "p6_records": p6_records,
 }
 
+# degrees and minutes and seconds with sign or letter, the two halves of a text position
+_HALF = r"""([-+\u2212]?)(\d+(?:[.,]\d+)?) ?\u00b0? ?(?:(\d+(?:[.,]\d+)?) ?[\'\u2032\u2019] ?)?(?:(\d+(?:[.,]\d+)?) ?(?:"|\u2033|\u201d|\'\') ?)?""".replace("\\'", "''")
+for _c in "\u2212\u00b0\u2032\u2019\u2033\u201d":
+    _HALF = _HALF.replace(f"\\u{ord(_c):04x}", _c)
+_TEXT = f"^ *{_HALF}([NSns]?)[ ,;/]+{_HALF}([EWOewo]?) *$"
+_PART = lambda i: f"coalesce(try_cast(replace(g.g{i}, ',', '.') as double), 0.0)"
+
 ORACLE = {
+    "p4_found": f"""
+        with t as (
+          select poste, lat, lon, regexp_extract(coordinates, '{_TEXT}', ['g1', 'g2', 'g3', 'g4', 'g5', 'g6', 'g7', 'g8', 'g9', 'g10']) as g,
+                 coalesce(regexp_matches(coordinates, '{_TEXT}'), false) as ok from station_metadata),
+        u as (
+          select poste,
+                 case when lat is not null and lon is not null and not isnan(lat) and not isnan(lon) then lat
+                      when ok and {_PART(3)} < 60 and {_PART(4)} < 60 and {_PART(8)} < 60 and {_PART(9)} < 60
+                      then case when g.g1 in ('-', '\u2212') or upper(g.g5) = 'S' then -1 else 1 end * ({_PART(2)} + {_PART(3)} / 60 + {_PART(4)} / 3600) end as a,
+                 case when lat is not null and lon is not null and not isnan(lat) and not isnan(lon) then lon
+                      when ok and {_PART(3)} < 60 and {_PART(4)} < 60 and {_PART(8)} < 60 and {_PART(9)} < 60
+                      then case when g.g6 in ('-', '\u2212') or upper(g.g10) in ('W', 'O') then -1 else 1 end * ({_PART(7)} + {_PART(8)} / 60 + {_PART(9)} / 3600) end as o
+          from t),
+        p as (
+          select distinct poste, radians(a) as a, radians(case when o > 180 then o - 360 else o end) as o from u
+          where poste is not null and a between -90 and 90 and o between -180 and 360 and not (a = 0 and o = 0))
+        select distinct x.poste as poste_a, y.poste as poste_b
+        from p x join p y on x.poste < y.poste and abs(x.a - y.a) <= 0.00032
+          and 2 * 6371008.8 * asin(sqrt(least(1.0, pow(sin((y.a - x.a) / 2), 2) + cos(x.a) * cos(y.a) * pow(sin((y.o - x.o) / 2), 2)))) <= 2000""",
     "p3_rules": """
         with x as (
           select obs_id, poste, field, epoch_us(time) as us, round(value, 9) as v, case when field = 'rr1' then 500 else 150 end as most

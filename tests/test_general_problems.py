@@ -120,7 +120,7 @@ def test_near_pairs_match_brute_force(spark):
     df = spark.createDataFrame(pts + pts[:3] + [(None, 1.0, 1.0), (9, None, 2.0)], "id long, lat double, lon double")
     d = near.great_circle(lat[:, None], lon[:, None], lat[None], lon[None])
     want = {(i, j) for i in range(len(pts)) for j in range(i + 1, len(pts)) if d[i, j] <= 2000}
-    for kw in ({}, {"per_pivot": 16, "chunk": 20}):
+    for kw in ({}, {"per_pivot": 16, "chunk": 20, "cell_pivots": 4, "level_pivots": 12}):
         got = [(r.id_a, r.id_b) for r in near.near_pairs(df, 2000.0, **kw).collect()]
         assert set(got) == want and len(got) == len(want)
     assert near.near_pairs(df.limit(0), 2000.0).count() == 0
