@@ -77,6 +77,13 @@ def p6_records(spark: SparkSession, folder: str) -> DataFrame:
     return schema_drift.unified_records(table(spark, folder, "mf_files"))
 
 
+def p6_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Per file: records read, and those with a station, with a time, and with any measured value."""
+    x = schema_drift.file_records(table(spark, folder, "mf_files"))
+    some = F.coalesce(*[F.col(c).cast("string") for c in schema_drift.NUMBERS], F.col("quality")).isNotNull() | (F.size("other") > 0)
+    return x.groupBy("file_id").agg(F.count("*").alias("n_records"), F.count("poste").alias("n_poste"), F.count("time").alias("n_time"), F.count_if(some).alias("n_filled"))
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_grid": grid_of_deployments,
@@ -88,6 +95,7 @@ QUERIES = {
     "p5_values": harmonised_values,
     "p6_found": p6_found,
     "p6_records": p6_records,
+    "p6_counts": p6_counts,
 }
 
 # degrees and minutes and seconds with sign or letter, the two halves of a text position
@@ -98,6 +106,22 @@ _TEXT = f"^ *{_HALF}([NSns]?)[ ,;/]+{_HALF}([EWOewo]?) *$"
 _PART = lambda i: f"coalesce(try_cast(replace(g.g{i}, ',', '.') as double), 0.0)"
 
 ORACLE = {
+    # a record's values beside station and time: there must be two texts of their kinds, the rest counts
+    "p6_counts": r"""
+        with l as (
+          select file_id, list_filter(regexp_split_to_array(regexp_replace(content, '^\ufeff+', ''), '\r\n|\r|\n'), lambda x: not regexp_matches(x, '^\s*(#|$)')) as l
+          from mf_files where file_id is not null and series is not null and trim(content) <> ''),
+        s as (
+          select file_id, l, [c for c in [';', chr(9), '|', ','] if len(string_split(l[1], c)) = list_max([len(string_split(l[1], d)) for d in [';', chr(9), '|', ',']])][1] as c from l where len(l) > 0),
+        r as (select file_id, unnest([[trim(v, ' "') for v in string_split(x, c)] for x in l[2:]]) as v from s),
+        k as (
+          select file_id, [v for v in v if not regexp_matches(v, '^(\d{4}-\d\d-\d\d[T ]\d\d.*|\d{10}|\d{12}|\d\d/\d\d/\d{4} \d\d.*)$') and not regexp_matches(v, '^[A-Za-z]{0,2}\d{7,9}(-[A-Za-z0-9])?$')] as rest,
+                 len([v for v in v if regexp_matches(v, '^(\d{4}-\d\d-\d\d[T ]\d\d.*|\d{10}|\d{12}|\d\d/\d\d/\d{4} \d\d.*)$')]) > 0 as t,
+                 len([v for v in v if regexp_matches(v, '^[A-Za-z]{0,2}\d{7,9}(-[A-Za-z0-9])?$')]) > 0 as p
+          from r)
+        select file_id, count(*) as n_records, count(*) filter (p) as n_poste, count(*) filter (t) as n_time,
+               count(*) filter (len([v for v in rest if lower(v) not in ('', 'mq', '-', 'na', 'nan', 'null')]) > 0) as n_filled
+        from k group by file_id""".replace("\\ufeff", "\ufeff"),
     "p4_found": f"""
         with t as (
           select poste, lat, lon, regexp_extract(coordinates, '{_TEXT}', ['g1', 'g2', 'g3', 'g4', 'g5', 'g6', 'g7', 'g8', 'g9', 'g10']) as g,

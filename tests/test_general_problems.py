@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rainloom.functions import forest
-from rainloom.functions.tree_edit import Node, assignment, edit_script
+from rainloom.functions.tree_edit import Node, assignment, edit_script, schema_tree
 from rainloom.functions.unit_text import unit_of, unit_said
 from rainloom.functions.whole_groups import whole_groups
 from rainloom.operators import anomalies, near, regular_grid, schema_drift, units
@@ -237,6 +237,25 @@ def test_assignment_and_edit_script():
     assert edits == {("renamed", "b", "b2"), ("retyped", "b.x", "b2.x"), ("removed", "b.y", None), ("moved", "gone", "b2.gone")}
 
 
+def test_edit_scripts_of_nested_schemas():
+    none = lambda p, q: 0.0
+    run = lambda a, b, like=none: edit_script(schema_tree(dict.fromkeys(a, "t")), schema_tree(dict.fromkeys(b, "t")), like)
+    kinds = lambda r: {(e.kind, e.old, e.new) for e in r[1]}
+    assert run(["a", "g.b"], ["a", "g.b"]) == (0.0, []) and run([], []) == (0.0, [])
+    assert kinds(run(["a", "g.b", "g.c"], ["a", "h.b", "h.c"])) == {("renamed", "g", "h")}  # a struct is known by what it holds
+    cost, _ = run(["g.b", "h.c"], ["g.c", "h.b"])
+    assert cost == 1.8 and kinds(run(["g.b", "h.c"], ["g.c", "h.b"])) == {("moved", "g.b", "h.b"), ("moved", "h.c", "g.c")}
+    assert kinds(run(["g.b", "x"], ["x", "g.y"])) == {("removed", "g.b", None), ("added", None, "g.y")}
+    like = lambda p, q: 0.9 if (p, q) == ("g.b", "w") else 0.0
+    assert kinds(run(["g.a", "g.b"], ["g.a", "w"], like)) == {("moved", "g.b", "w"), ("renamed", "g.b", "w")}
+    rng = np.random.default_rng(1)
+    for _ in range(30):  # never dearer than removing and adding everything that differs
+        names = lambda: {f"{rng.choice(['', 'p.', 'q.'])}{c}" for c in rng.choice(list("abcdef"), 4, replace=False)}
+        a, b = names(), names()
+        structs = lambda n: {x[0] for x in n if "." in x}
+        assert run(sorted(a), sorted(b))[0] <= len(a ^ b) + len(structs(a) ^ structs(b)) + 1e-9
+
+
 FILES = "file_id long, series string, published_at timestamp_ntz, content string"
 
 
@@ -258,6 +277,24 @@ def test_schema_changes(spark):
     assert schema_drift.schema_changes(f.limit(0)).count() == 0
 
 
+def test_nothing_is_cut_from_records(spark):
+    a = "POSTE;DATE;RR1;RR1;;X\n" + "\n".join(f"20000001;20241001{h:02d};1,{h};2,{h};n;x;extra" for h in range(6))
+    assert schema_drift.parse_file(a)[0] == ["POSTE", "DATE", "RR1", "RR1#4", "#5", "X", "#7"]
+    assert schema_drift.parse_file("A;B;\n1;2;\n3\n") == (["A", "B", ""], [["1", "2", ""], ["3", "", ""]])
+    f = spark.createDataFrame([(1, "s", minutes(1), a), (2, "s", minutes(2), a.replace(";extra", ""))], FILES)
+    assert {(r.file_id, r.change_kind, r.field_name) for r in schema_drift.schema_changes(f).collect()} == {(2, "removed", "#7")}
+    rows = schema_drift.file_records(f).where("file_id = 1").collect()
+    assert len(rows) == 6 and all(r.other == {"rr1#4": f"2,{r.line}", "#5": "n", "x": "x", "#7": "extra"} and r.rr1 == round(1 + r.line / 10, 1) for r in rows)
+
+
+def test_changes_across_buckets(spark):
+    header = lambda n: _file(["POSTE", "DATE", n], [["20000001", "2024100101", "1,5"], ["20000001", "2024100102", "2,5"]])
+    rows = [(d, "s", T + dt.timedelta(days=d), header("RR1" if d < 100 else "PRECIP_1H")) for d in (0, 10, 40, 99, 100, 230)]
+    f = spark.createDataFrame(rows, FILES)
+    for days in (1, 30, 400):
+        assert [(r.file_id, r.change_kind, r.field_name) for r in schema_drift.schema_changes(f, days).collect()] == [(100, "renamed", "PRECIP_1H")]
+
+
 def test_value_types():
     t = schema_drift.value_type
     assert [t(["1", "mq"]), t(["1,5", "2"]), t(["1.5"]), t(["1,5", "1.5"]), t(["-", "NA", ""]), t(["néant"])] == ["whole", "comma", "point", "text", None, "text"]
