@@ -86,18 +86,44 @@ def merged_grids(sources: dict[str, DataFrame], value: dict[str, str], mask_by:
 def split_times(df: DataFrame, training: float = 0.8, testing: float = 0.2, method: str = "sequential", seed: int = 12, time: str = "time") -> tuple[DataFrame, DataFrame]:
     """Rows of the first (or, by seeded hash, random) share of the distinct times, and of the next share.
 
-    Both shares round down; their sum may be at most one.  The random order is by hash of time and seed, so it
-    needs no driver and is the same on every run.
+    Both shares round down; their sum may be at most one.  The random order is by the MD5 digest of the time's
+    microseconds and the seed, so it needs no driver and is the same on every run.  Distinct times are a dimension.
     """
     if not 0 <= training <= 1 or not 0 <= testing <= 1 or training + testing > 1 + 1e-9:
         raise ValueError("shares must lie between 0 and 1 and sum to at most 1")
     if method not in ("sequential", "random"):
         raise ValueError(f"unknown method {method!r}")
     times = df.select(time).where(F.col(time).isNotNull()).distinct()
-    key: Column = F.col(time) if method == "sequential" else F.xxhash64(F.col(time).cast("string"), F.lit(seed))
+    key: Column = F.col(time) if method == "sequential" else F.md5(F.concat_ws(":", epoch_us(F.col(time)).cast("string"), F.lit(str(seed))))
     n = times.count()
     k, m = int(training * n + 1e-9), int(testing * n + 1e-9)
     # distinct times are a dimension; the cut times come from one sort of them
     order = times.withColumn("__r", F.row_number().over(Window.orderBy(key, F.col(time))))
     first, second = order.where(F.col("__r") <= k).select(time), order.where((F.col("__r") > k) & (F.col("__r") <= k + m)).select(time)
     return df.join(first, time, "left_semi"), df.join(second, time, "left_semi")
+
+
+def gauge_radar(gauges: DataFrame, radar: DataFrame, step_seconds: int, min_points: int) -> DataFrame:
+    """(station, step, gauge, radar): means per station and step of both sources, for stations with more than ``min_points`` readings.
+
+    Both: (station, time, value); step is the time in seconds over ``step_seconds``, rounded down.  Both sides are combined
+    before they meet by station and step; a step that one of them lacks has no row.
+    """
+    step = floor_div(epoch_us(F.col("time")), step_seconds * 1_000_000).alias("step")
+    many = gauges.groupBy("station").agg(F.count("*").alias("n")).where(F.col("n") > min_points).select("station")
+    g = gauges.groupBy("station", step).agg(F.avg("value").alias("gauge")).join(many, "station", "left_semi")
+    return g.join(radar.groupBy("station", step).agg(F.avg("value").alias("radar")), ["station", "step"])
+
+
+def at_nearest_step(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Cells (time, lat, lon, ...) of ``left`` with those of ``right`` at its step nearest in time, the earlier of two.
+
+    The distinct steps, a dimension, are matched by looking to both sides in time order.
+    """
+    mark = left.select("time").distinct().select("time", F.lit(None).cast("timestamp_ntz").alias("t")).unionByName(right.select("time").distinct().select("time", F.col("time").alias("t")))
+    w = Window.orderBy("time")
+    before = F.last("t", ignorenulls=True).over(w.rangeBetween(Window.unboundedPreceding, 0))
+    after = F.first("t", ignorenulls=True).over(w.rangeBetween(0, Window.unboundedFollowing))
+    gap = lambda c: F.abs(epoch_us(F.col("time")) - epoch_us(F.col(c)))
+    x = mark.select("time", "t", before.alias("b"), after.alias("a")).where("t is null").select("time", F.when(F.col("a").isNull() | (gap("b") <= gap("a")), F.col("b")).otherwise(F.col("a")).alias("near"))
+    return left.join(x, "time").join(right.withColumnRenamed("time", "near"), ["near", "lat", "lon"]).drop("near")

@@ -28,15 +28,22 @@ def labelled(df: DataFrame, variable: str, model: KMeansModel, time: str = "time
     return df.join(marks, time)
 
 
-def corrected(df: DataFrame, variable: str, model: KMeansModel, reference: str, quantiles: list[float]) -> DataFrame:
-    """``df`` with ``<variable>_matched``: a quantile fit per label; rows at or below zero become zero."""
+def nearest_centre(df: DataFrame, variable: str, centres: list[list[float]], time: str = "time", fill: float = 20.0) -> DataFrame:
+    """(time, label): the centre nearest to each time's features, the first of ties; missing features are ``fill``."""
+    x = cluster_features(df, variable).fillna(fill, FEATURES)
+    far = [sum(((F.col(f) - F.lit(float(v))) * (F.col(f) - F.lit(float(v))) for f, v in zip(FEATURES, c)), F.lit(0.0)) for c in centres]
+    return x.select(time, F.array_min(F.array(*[F.struct(d.alias("d"), F.lit(i).alias("i")) for i, d in enumerate(far)]))["i"].alias("label"))
+
+
+def corrected(df: DataFrame, variable: str, model: KMeansModel, fuser: Fuser) -> DataFrame:
+    """``df`` with ``<variable>_matched``: a fit of ``fuser`` per label; rows at or below zero become zero."""
     x = labelled(df, variable, model)
     out = None
     for label in range(len(model.clusterCenters())):
         part = x.where(F.col("label") == label)
         if not part.take(1):
             continue
-        y = Fuser("qmatch", reference, variable, quantiles).transform(part)
+        y = fuser.transform(part)
         out = y if out is None else out.unionByName(y)
     return out.withColumn(f"{variable}_matched", F.when(F.col(variable) > 0, F.col(f"{variable}_matched")).otherwise(F.lit(0.0)))
 

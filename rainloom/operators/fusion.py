@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rainloom.functions.metrics import _clean
@@ -19,34 +20,66 @@ FEW = 128
 def exact_quantiles(df: DataFrame, columns: list[str], quantiles: list[float]) -> dict[str, np.ndarray]:
     """Quantiles by linear interpolation; NULL and NaN are no values.
 
-    A few come from one percentile aggregation.  Many come from ranks: values are counted, range-partitioned
-    and summed up with one offset per partition, so neither one task nor the driver holds a column.
+    A few come from one percentile aggregation.  Many come from ranks: the values of all columns are counted,
+    range-partitioned and summed up with one offset per partition, so neither one task nor the driver holds a column.
     """
     if len(quantiles) <= FEW:
         r = df.agg(*[F.percentile(_clean(F.col(c)), F.array(*map(F.lit, quantiles))).alias(c) for c in columns]).first()
         return {c: np.array(r[c], float) if r[c] is not None else np.full(len(quantiles), np.nan) for c in columns}
-    return {c: _by_rank(df, c, quantiles) for c in columns}
-
-
-def _by_rank(df: DataFrame, column: str, quantiles: list[float]) -> np.ndarray:
-    v = df.select(_clean(F.col(column)).alias("v")).where("v is not null").groupBy("v").agg(F.count("*").alias("n"))
-    x = checkpointed(v.repartitionByRange("v").withColumn("pid", F.spark_partition_id()))
-    sums = x.groupBy("pid").agg(F.sum("n").alias("n"))  # one row per partition
-    offsets = sums.select("pid", (F.sum("n").over(Window.orderBy("pid")) - F.col("n")).alias("off"), F.sum("n").over(Window.partitionBy(F.lit(1))).alias("total"))
-    w = Window.partitionBy("pid").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = x.join(F.broadcast(offsets), "pid").select("v", (F.sum("n").over(w) + F.col("off")).alias("hi"), "n", "total")
-    total = sums.agg(F.sum("n")).first()[0]
-    if not total:
-        return np.full(len(quantiles), np.nan)
-    at = np.asarray(quantiles) * (total - 1)
-    ranks = np.unique(np.concatenate([np.floor(at), np.minimum(np.floor(at) + 1, total - 1)]).astype(np.int64))
-    # as many rows come back as ranks were asked for
-    wanted = df.sparkSession.createDataFrame([(int(r),) for r in ranks], "r long")
-    got = ranked.join(F.broadcast(wanted), (F.col("r") >= F.col("hi") - F.col("n")) & (F.col("r") < F.col("hi"))).select("r", "v").collect()
-    value = {r.r: r.v for r in got}
-    low = np.array([value[int(i)] for i in np.floor(at)])
-    high = np.array([value[int(i)] for i in np.minimum(np.floor(at) + 1, total - 1)])
-    return low + (high - low) * (at - np.floor(at))
+    return _by_rank(df, columns, quantiles)
+
+
+def _by_rank(df: DataFrame, columns: list[str], quantiles: list[float]) -> dict[str, np.ndarray]:
+    parts = F.array(*[F.struct(F.lit(i).alias("c"), _clean(F.col(c)).alias("v")) for i, c in enumerate(columns)])
+    v = df.select(F.explode(parts).alias("p")).select("p.c", "p.v").where("v is not null").groupBy("c", "v").agg(F.count("*").alias("n"))
+    x = checkpointed(v.repartitionByRange("c", "v").sortWithinPartitions("c", "v").withColumn("pid", F.spark_partition_id()))
+    sums = sorted((r.c, r.pid, r.n) for r in x.groupBy("c", "pid").agg(F.sum("n").alias("n")).collect())  # one row per column and partition
+    wanted: dict[tuple[int, int], tuple[int, np.ndarray]] = {}
+    places = {}
+    for i in range(len(columns)):
+        own = [(pid, n) for c, pid, n in sums if c == i]
+        total = sum(n for _, n in own)
+        if not total:
+            continue
+        at = np.asarray(quantiles) * (total - 1)
+        low, high = np.floor(at).astype(np.int64), np.minimum(np.floor(at) + 1, total - 1).astype(np.int64)
+        places[i], ranks = (at, low, high), np.unique(np.concatenate([low, high]))
+        begin = 0
+        for pid, n in own:
+            mine = ranks[np.searchsorted(ranks, begin) : np.searchsorted(ranks, begin + n)]
+            if len(mine):
+                wanted[i, pid] = begin, mine
+            begin += n
+
+    def pick(batches):
+        """Values of the ranks asked for; a partition comes in order of column and value."""
+        done: dict[tuple[int, int], int] = {}
+        for b in batches:
+            c, r, out = [], [], []
+            for (col, pid), g in b.groupby(["c", "pid"], sort=False):
+                if (col, pid) not in wanted:
+                    continue
+                begin, ranks = wanted[col, pid]
+                ends = done.get((col, pid), begin) + np.cumsum(g["n"].to_numpy())
+                first, done[col, pid] = done.get((col, pid), begin), int(ends[-1])
+                mine = ranks[np.searchsorted(ranks, first) : np.searchsorted(ranks, ends[-1])]
+                c.append(np.full(len(mine), col))
+                r.append(mine)
+                out.append(g["v"].to_numpy()[np.searchsorted(ends, mine, "right")])
+            if c:
+                yield pd.DataFrame({"c": np.concatenate(c), "r": np.concatenate(r), "v": np.concatenate(out)})
+
+    got = x.mapInPandas(pick, "c int, r long, v double").collect()  # as many rows as ranks were asked for
+    value = {(r.c, r.r): r.v for r in got}
+    out = {}
+    for i, name in enumerate(columns):
+        if i not in places:
+            out[name] = np.full(len(quantiles), np.nan)
+            continue
+        at, low, high = places[i]
+        a, b = (np.array([value[i, int(k)] for k in z]) for z in (low, high))
+        out[name] = a + (b - a) * (at - low)
+    return out
 
 
 def fit_quadratic(x: np.ndarray, y: np.ndarray, absolute: bool = True) -> np.ndarray:

@@ -125,6 +125,12 @@ def row_correlations(a: DataFrame, b: DataFrame, row: str, vector: str) -> DataF
     return x.select("row_a", "row_b", F.try_divide(dot, F.col("n_a") * F.col("n_b")).alias("r"))
 
 
+def distance_to_median(df: DataFrame, column: str, reference: str, above: float = 20.0, time: str = "time") -> DataFrame:
+    """(time, distance): median of ``column`` less that of ``reference``, each over its own values above ``above``."""
+    median = lambda c: F.percentile(F.when(M._clean(F.col(c)) > above, F.col(c)), 0.5)
+    return df.groupBy(time).agg((median(column) - median(reference)).alias("distance"))
+
+
 def histogram(df: DataFrame, column: str, bins: int = 30, density: bool = False) -> DataFrame:
     """(bin, low, high, n): bins of equal width from least to largest value, the last closed; empty bins included."""
     if column not in df.columns:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -172,7 +174,7 @@ _COMPLETE = f"with {_PAIRS}, z as (select flag, obs, case when l_orderkey % 7 <>
 
 def _score(name: str):
     def f(spark: SparkSession, d: str) -> DataFrame:
-        return sparse(spark, d).groupBy("flag").agg(r6(M.SCORES[name](F.col("obs"), F.col("sim"))).alias("value"))
+        return pairs(spark, d).groupBy("flag").agg(r6(M.SCORES[name](F.col("obs"), F.col("sim"))).alias("value"))
 
     f.__name__ = f"score_{name}"
     return f
@@ -185,7 +187,7 @@ for _name, _sql in {
     "kge": "1 - sqrt(power(corr(obs, sim) - 1, 2) + power(stddev_pop(obs) / avg(obs) - stddev_pop(sim) / avg(sim), 2) + power(avg(obs) / avg(sim) - 1, 2))",
     "r2": "1 - sum((obs - sim) * (obs - sim)) / (var_pop(obs) * count(obs))",
 }.items():
-    query(f"{_COMPLETE} select flag, round({_sql}, 6) as value from c group by 1")(_score(_name))
+    query(f"with {_PAIRS} select flag, round({_sql}, 6) as value from pairs group by 1")(_score(_name))
 
 
 @query(
@@ -292,8 +294,7 @@ def average_over_domain(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"with {_GRID} select time, round(quantile_cont(case when sat > 20 then sat end, 0.5) - quantile_cont(case when radar > 20 then radar end, 0.5), 6) as distance from grid group by 1")
 def dist_to_median(spark: SparkSession, d: str) -> DataFrame:
-    m = lambda c: F.percentile(F.when(F.col(c) > 20, F.col(c)), 0.5)
-    return grid(spark, d).groupBy("time").agg(r6(m("sat") - m("radar")).alias("distance"))
+    return scores.distance_to_median(grid(spark, d), "sat", "radar").select("time", r6("distance").alias("distance"))
 
 
 @query(f"with {_GRID} select time, round(quantile_cont(radar, 0.25), 6) as q_low, round(quantile_cont(radar, 0.5), 6) as median, round(quantile_cont(radar, 0.75), 6) as q_high from grid where radar > 0 group by 1")
@@ -313,9 +314,23 @@ def cluster_features(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def cluster_correction(spark: SparkSession, d: str) -> DataFrame:
+    """Each weather type gets its own fit by parts, per land and sea, with ten thousand quantiles."""
     g = grid(spark, d)
-    model = cluster.fit_clusters(g, "sat")
-    return cluster.corrected(g, "sat", model, "radar", list(np.linspace(0.01, 0.99, 25)))
+    fuser = fusion.Fuser("qmatch_by_parts", "radar", "sat", land=(F.col("lat") + F.col("lon")) % 2 == 0)
+    return cluster.corrected(g, "sat", cluster.fit_clusters(g, "sat"), fuser).drop("label")
+
+
+_CENTRES = [[10.0, 0.2, 5.0, 0.3], [20.0, 0.5, 8.0, 0.5], [30.0, 0.9, 12.0, 0.7]]
+_NEAREST = ", ".join(f"power(coalesce(spm, 20) - {c[0]}, 2) + power(coalesce(sup, 20) - {c[1]}, 2) + power(coalesce(std, 20) - {c[2]}, 2) + power(coalesce(cvr, 20) - {c[3]}, 2)" for c in _CENTRES)
+
+
+@query(
+    f"""with {_GRID}, n as (select time, count(sat) as n from grid group by 1), f as (select arg_min(n, time) as n0 from n),
+    x as (select time, avg(sat) as spm, count(*) filter (sat > 25) / any_value(n0) as sup, stddev_pop(sat) as std, stddev_pop(sat) / avg(sat) as cvr from grid, f group by 1),
+    y as (select time, [{_NEAREST}] as d from x) select time, cast(list_position(d, list_min(d)) - 1 as integer) as label from y"""
+)
+def cluster_labels(spark: SparkSession, d: str) -> DataFrame:
+    return cluster.nearest_centre(grid(spark, d), "sat", _CENTRES)
 
 
 @query(
@@ -485,7 +500,10 @@ def split_sequential(spark: SparkSession, d: str) -> DataFrame:
     return a.withColumn("part", F.lit("train")).unionByName(b.withColumn("part", F.lit("test")))
 
 
-@query()
+@query(
+    f"""with {_GRID}, t as (select time, row_number() over (order by md5(epoch_us(time)::varchar || ':12'), time) as r, count(*) over () as n from (select distinct time from grid))
+    select 'train' as part, grid.* from grid join t using (time) where r <= floor(0.8 * n) union all select 'test', grid.* from grid join t using (time) where r > floor(0.8 * n) and r <= floor(0.8 * n) + floor(0.2 * n)"""
+)
 def split_random(spark: SparkSession, d: str) -> DataFrame:
     a, b = align.split_times(grid(spark, d), method="random")
     return a.withColumn("part", F.lit("train")).unionByName(b.withColumn("part", F.lit("test")))
@@ -559,15 +577,16 @@ def timedelta_label(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     f"""with {_STATIONS}, o as (select date_trunc('month', l_shipdate) as day, l_suppkey as id, avg(l_quantity) as v from lineitem group by 1, 2),
-    n as (select -5.95 + i * 0.45 as lat, -39.95 + j * 0.37 as lon from range(0, 4) as a(i), range(0, 4) as b(j)),
-    x as (select day, n.lat, n.lon, v, power(n.lat - s.lat, 2) + power(n.lon - s.lon, 2) as d2 from o join stations s using (id), n)
-    select cast(day as timestamp) as time, round(lat, 6) as lat, round(lon, 6) as lon, round(sum(v / d2) / sum(1 / d2), 6) as value from x group by 1, 2, 3""".replace("n.lat, n.lon, v", "n.lat as lat, n.lon as lon, v")
+    b as (select min(lat) as a, ceil((max(lat) - min(lat)) / 0.25 - 1e-12) as n, min(lon) as o, ceil((max(lon) - min(lon)) / 0.25 - 1e-12) as m from stations),
+    n as (select a + i * 0.25 as lat, o + j * 0.25 as lon from b, range(0, cast(n as bigint)) as u(i), range(0, cast(m as bigint)) as w(j)),
+    x as (select day, n.lat as lat, n.lon as lon, v, power(n.lat - s.lat, 2) + power(n.lon - s.lon, 2) as d2 from o join stations s using (id), n)
+    select cast(day as timestamp) as time, round(lat, 6) as lat, round(lon, 6) as lon, round(case when min(d2) > 0 then sum(v / nullif(d2, 0)) / sum(1 / nullif(d2, 0)) end, 6) as value from x group by 1, 2, 3"""
 )
 def idw_grid(spark: SparkSession, d: str) -> DataFrame:
     month = F.date_trunc("month", F.col("l_shipdate")).cast("timestamp_ntz")
     o = table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("station"), month.alias("time")).agg(F.avg("l_quantity").alias("value"))
-    n = spark.range(16).select((F.lit(-5.95) + F.floor(F.col("id") / 4) * 0.45).alias("lat"), (F.lit(-39.95) + F.col("id") % 4 * 0.37).alias("lon"))
-    return interp.idw(o, stations(spark, d), n).select("time", r6("lat").alias("lat"), r6("lon").alias("lon"), r6("value").alias("value"))
+    s = stations(spark, d)
+    return interp.idw(o, s, interp.grid_nodes(spark, space.bbox_of(s), 0.25)).select("time", r6("lat").alias("lat"), r6("lon").alias("lon"), r6("value").alias("value"))
 
 
 _KERNEL = [[0.0, 1.0, 0.0], [1.0, 4.0, 2.0], [0.0, 1.0, 0.0]]
@@ -590,10 +609,18 @@ def regrid_triangles(spark: SparkSession, d: str) -> DataFrame:
     return interp.regrid_triangles(t, n, 1.0).select(r6("lat").alias("lat"), r6("lon").alias("lon"), r6("value").alias("value"))
 
 
-@query()
+@query(
+    f"""with {_GRID}, t as (select distinct time from grid), b as (select min(lat) as a, ceil((max(lat) - min(lat)) / 0.5 - 1e-12) as n, min(lon) as o, ceil((max(lon) - min(lon)) / 0.5 - 1e-12) as m from grid)
+    select time, a + i * 0.5 as lat, o + j * 0.5 as lon, round(2 * (a + i * 0.5) - 3 * (o + j * 0.5) + 7 + month(time), 6) as value from t, b, range(0, cast(n as bigint)) as u(i), range(0, cast(m as bigint)) as w(j)"""
+)
 def regrid_scattered(spark: SparkSession, d: str) -> DataFrame:
-    g = grid(spark, d).select("time", "lat", "lon", F.col("radar").alias("value"))
-    return interp.regrid_scattered(g, space.bbox_of(g), 0.5)
+    """A planar field over the cube's cells and the corners of its box: any triangulation gives it back exactly."""
+    g = grid(spark, d).select("time", "lat", "lon")
+    box = space.bbox_of(g)
+    corners = F.array(*[F.struct(F.lit(a).alias("lat"), F.lit(o).alias("lon")) for a in (box.min_lat, box.max_lat) for o in (box.min_lon, box.max_lon)])
+    g = g.unionByName(g.select("time").distinct().select("time", F.explode(corners).alias("c")).select("time", "c.lat", "c.lon"))
+    g = g.withColumn("value", 2 * F.col("lat") - 3 * F.col("lon") + 7 + F.month("time"))
+    return interp.regrid_scattered(g, box, 0.5).withColumn("value", r6("value"))
 
 
 # ---- fusion ---------------------------------------------------------------------------------------------
@@ -601,12 +628,14 @@ def regrid_scattered(spark: SparkSession, d: str) -> DataFrame:
 _QS = [round(float(q), 2) for q in np.linspace(0.01, 0.99, 99)]
 
 
-def _moments(source: str) -> str:
+def _moments(source: str, name: str = "") -> str:
     """Quadratic least squares of y on x by centred normal equations."""
-    return f"""m as (select avg(x) as mx, avg(x * x) as mxx, avg(y) as my from {source}),
+    sql = f"""m as (select avg(x) as mx, avg(x * x) as mxx, avg(y) as my from {source}),
     s as (select sum((x - mx) * (x - mx)) as a, sum((x - mx) * (x * x - mxx)) as b, sum((x * x - mxx) * (x * x - mxx)) as c, sum((x - mx) * (y - my)) as d, sum((x * x - mxx) * (y - my)) as e, any_value(mx) as mx, any_value(mxx) as mxx, any_value(my) as my from {source}, m),
     f0 as (select (e * a - d * b) / (c * a - b * b) as p2, (d * c - e * b) / (c * a - b * b) as p1, d / a as lin, mx, mxx, my from s),
     f as (select case when p2 < 0 then 0 else p2 end as p2, case when p2 < 0 then lin else p1 end as p1, case when p2 < 0 then my - lin * mx else my - p1 * mx - p2 * mxx end as p0 from f0)"""
+    return re.sub(r"\b(m|s|f0|f) as \(", rf"{name}\1 as (", re.sub(r"(from|,) (m|f0)\b(?!x| as)", rf"\1 {name}\2", sql.replace("from s)", f"from {name}s)"))) if name else sql
+
 
 
 @query(
@@ -644,7 +673,75 @@ def linreg_land_sea(spark: SparkSession, d: str) -> DataFrame:
     return f.transform(grid(spark, d)).select("time", "lat", "lon", F.round("sat_matched", 5).alias("sat_matched"))
 
 
-@query()
+_PARTS = f"""with {_GRID}, v as (select row_number() over (order by radar) - 1 as r, radar from grid), w as (select row_number() over (order by sat) - 1 as r, sat from grid), n as (select count(*) as n from grid),
+    pos as (select k, (case when k = 0 then i / 10000.0 * 0.75 else 0.75 + i / 10000.0 * 0.25 end) * (n - 1) as p from range(0, 10000) as g(i), n, (values (0), (1)) as part(k)),
+    q as (select k, w1.sat + (w2.sat - w1.sat) * (p - floor(p)) as x, v1.radar + (v2.radar - v1.radar) * (p - floor(p)) as y
+      from pos join n on true join v v1 on v1.r = floor(p) join v v2 on v2.r = least(floor(p) + 1, n.n - 1) join w w1 on w1.r = floor(p) join w w2 on w2.r = least(floor(p) + 1, n.n - 1)),
+    low as (select x, y from q where k = 0), high as (select x, y from q where k = 1), cut as (select quantile_cont(sat, 0.75) as c from grid)"""
+
+
+@query(
+    f"""{_PARTS}, {_moments("low", "lo_")}, {_moments("high", "hi_")},
+    z as (select time, lat, lon, sat, 1 / (1 + exp(greatest(least(-40 * (sat - c), 700), -700))) as up from grid, cut)
+    select time, lat, lon, round(greatest((lo_f.p2 * sat * sat + lo_f.p1 * sat + lo_f.p0) * (1 - up) + (hi_f.p2 * sat * sat + hi_f.p1 * sat + hi_f.p0) * up, 0), 3) as sat_matched from z, lo_f, hi_f"""
+)
 def quantile_match_by_parts(spark: SparkSession, d: str) -> DataFrame:
     """Ten thousand quantiles in each part, by ranks."""
-    return fusion.Fuser("qmatch_by_parts", "radar").transform(grid(spark, d)).select("time", "lat", "lon", F.round("sat_matched", 4).alias("sat_matched"))
+    return fusion.Fuser("qmatch_by_parts", "radar").transform(grid(spark, d)).select("time", "lat", "lon", F.round("sat_matched", 3).alias("sat_matched"))
+
+
+# ---- radar geometry and gauges against radar ---------------------------------------------------------------
+
+
+@query(
+    """with g as (select station as id, lat, lon from (select s_suppkey as station, -6.0 + (s_suppkey % 20) * 0.1 as lat, -40.0 + floor(s_suppkey / 20) * 0.1 as lon from supplier)),
+    x as (select id, b, radians(lat) as a, radians(lon) as o, 25.0 / 6371.0088 as d, radians(b) as t from g, (select unnest(range(0, 360, 30)) as b)),
+    y as (select *, asin(sin(a) * cos(d) + cos(a) * sin(d) * cos(t)) as a2 from x)
+    select id, cast(b as bigint) as bearing, round(degrees(a2), 6) as lat, round((degrees(o + atan2(sin(t) * sin(d) * cos(a), cos(d) - sin(a) * sin(a2))) + 540) % 360 - 180, 6) as lon from y"""
+)
+def radar_circles(spark: SparkSession, d: str) -> DataFrame:
+    """Circles of 25 km around the stations, every 30 degrees."""
+    x = stations(spark, d).withColumn("bearing", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(330).cast("long"), F.lit(30).cast("long"))))
+    lat, lon = S.destination(F.col("lat"), F.col("lon"), F.col("bearing").cast("double"), 25.0)
+    return x.select("id", "bearing", r6(lat).alias("lat"), r6(lon).alias("lon"))
+
+
+@query(
+    """with g as (select p_partkey as gate, radians((p_partkey * 7) % 360) as az, (p_size * 1000.0) as r, radians(0.5 + p_partkey % 4) as e, 4.0 / 3.0 * 6371000.0 as k from part),
+    z as (select *, sqrt(r * r + k * k + 2.0 * r * k * sin(e)) - k as z from g), x as (select gate, z, k * asin(r * cos(e) / (k + z)) * sin(az) as x, k * asin(r * cos(e) / (k + z)) * cos(az) as y from z),
+    p as (select *, sqrt(x * x + y * y) as rho, radians(-3.7) as p from x)
+    select gate, round(case when rho = 0 then -38.5 else -38.5 + degrees(atan2(x * sin(rho / R), rho * cos(p) * cos(rho / R) - y * sin(p) * sin(rho / R))) end, 6) as lon,
+           round(case when rho = 0 then -3.7 else degrees(asin(greatest(-1, least(1, cos(rho / R) * sin(p) + y * sin(rho / R) * cos(p) / rho)))) end, 6) as lat, round(z + 20, 4) as alt from p""".replace("/ R", f"/ {S.AEQD_RADIUS_M}")
+)
+def georeferenced_gates(spark: SparkSession, d: str) -> DataFrame:
+    """Positions of radar gates under the four-thirds earth model."""
+    g = table(spark, d, "part").select(F.col("p_partkey").alias("gate"), F.pmod(F.col("p_partkey") * 7, F.lit(360)).cast("double").alias("az"), (F.col("p_size") * 1000.0).alias("r"), (F.lit(0.5) + F.col("p_partkey") % 4).alias("e"))
+    lon, lat, alt = S.georeferenced(F.col("az"), F.col("r"), F.col("e"), -38.5, -3.7, 20.0)
+    return g.select("gate", r6(lon).alias("lon"), r6(lat).alias("lat"), F.round(alt, 4).alias("alt"))
+
+
+@query(
+    """with m as (select obs_id, poste, epoch_us(time) as us, rr6 from mf_data where rr6 >= 0 and not isnan(rr6)), s as (select poste, count(*) as n from m group by 1 having count(*) > 6),
+    b as (select poste, us // 3600000000 as h, avg(rr6) as gauge from m join s using (poste) group by 1, 2),
+    r as (select poste, epoch_us(time) // 3600000000 as h, avg(rain_rate) as radar from radar_rain where rain_rate >= 0 and not isnan(rain_rate) group by 1, 2)
+    select poste, cast(h as bigint) as hour, round(gauge, 6) as gauge, round(radar, 6) as radar from b join r using (poste, h)"""
+)
+def gauge_radar_steps(spark: SparkSession, d: str) -> DataFrame:
+    """Gauge and radar means of the same station and hour, for stations with more than six readings."""
+    usable = lambda c: F.col(c).isNotNull() & ~F.isnan(c) & (F.col(c) >= 0)
+    g = table(spark, d, "mf_data").where(usable("rr6")).select(F.col("poste").alias("station"), "time", F.col("rr6").alias("value"))
+    r = table(spark, d, "radar_rain").where(usable("rain_rate")).select(F.col("poste").alias("station"), "time", F.col("rain_rate").alias("value"))
+    x = align.gauge_radar(g, r, 3600, 6)
+    return x.select(F.col("station").alias("poste"), F.col("step").alias("hour"), r6("gauge").alias("gauge"), r6("radar").alias("radar"))
+
+
+@query(
+    f"""with {_GRID}, t as (select distinct time from grid), a as (select time as t1, lat, lon, radar from grid), b as (select time as t2, lat, lon, sat from grid where month(time) % 2 = 1),
+    n as (select t.time as t1, arg_min(u.time, struct_pack(d := abs(epoch_us(u.time) - epoch_us(t.time)), t := u.time)) as t2 from t, (select distinct t2 as time from b) u group by 1)
+    select a.t1 as time, round(corr(radar, sat), 6) as r from a join n using (t1) join b using (t2, lat, lon) group by 1"""
+)
+def nearest_step_correlation(spark: SparkSession, d: str) -> DataFrame:
+    """Correlation over the cells of each radar step with the satellite step nearest in time."""
+    g = grid(spark, d)
+    x = align.at_nearest_step(g.select("time", "lat", "lon", "radar"), g.where("month(time) % 2 = 1").select("time", "lat", "lon", "sat"))
+    return x.groupBy("time").agg(r6(M.correlation(F.col("radar"), F.col("sat"))).alias("r"))

@@ -23,14 +23,14 @@ def numeric_where_all(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.withColumns({c: F.col(c).try_cast("double") for c in columns if r[c]})
 
 
-def commented_csv(spark: SparkSession, folder: str, tz: str = "America/Sao_Paulo", tz_rule: str = "duration") -> tuple[DataFrame, DataFrame]:
+def commented_csv(spark: SparkSession, folder: str, tz: str = "America/Sao_Paulo", tz_rule: str = "duration", pattern: str = "*.csv") -> tuple[DataFrame, DataFrame]:
     """(observations, stations) of csv files whose head lines are ``#key:value``.
 
     observations: (id, time, value), stations: (id, name, lat, lon, alt, step_seconds, duration_seconds, path).  Local
     time goes to UTC if the record is shorter than a day (``tz_rule="duration"``) or its step is ("step").  Files with
     the same name and size are one; files without two times have no duration and are left out.
     """
-    raw = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.csv").text(folder, wholetext=True)
+    raw = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).text(folder, wholetext=True)
     x = raw.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("name"), F.col("_metadata.file_size").alias("size"), "value")
     x = x.groupBy("name", "size").agg(F.min_by("value", "path").alias("value"), F.min("path").alias("path"))
     lines = F.filter(F.split("value", r"\r?\n"), lambda v: F.trim(v) != "")
@@ -58,37 +58,37 @@ def by_step(obs: DataFrame) -> DataFrame:
     return obs.groupBy("id", "step_seconds", "time").agg(F.min("value").alias("value")).withColumn("step", timedelta_label(F.col("step_seconds")))
 
 
-def record_files(spark: SparkSession, folder: str, ignore: tuple[str, ...] = (), shift_hours: int = 3) -> DataFrame:
+def record_files(spark: SparkSession, folder: str, ignore: tuple[str, ...] = (), shift_hours: int = 3, pattern: str = "*.data") -> DataFrame:
     """(station, field, time, value) of ``.data`` files; times get ``shift_hours`` but for daily fields.
 
     Fields that a file doesn't have are skipped; of several values for one station, field and time the first counts.
     """
-    from rainloom.operators.schema_drift import parse_file
+    from rainloom.operators.schema_drift import with_records
 
-    x = spark.read.format("binaryFile").option("pathGlobFilter", "*.data").load(folder)
+    x = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).text(folder, wholetext=True)
+    x = x.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
     name = F.element_at(F.split("path", "/"), -1)
     x = x.where(~name.isin(*ignore)) if ignore else x
 
-    def run(batches):
-        import pandas as pd
-
-        for b in batches:
-            rows = []
-            for path, content in zip(b["path"], b["content"]):
-                names, records = parse_file(bytes(content).decode("utf-8", "replace"))
-                if "POSTE" in names and "DATE" in names:
-                    p, d = names.index("POSTE"), names.index("DATE")
-                    rows += [(path, i, r[p], r[d], names[j], r[j]) for i, r in enumerate(records) for j in range(len(names)) if names[j] in FIELDS]
-            yield pd.DataFrame(rows, columns=["path", "line", "station", "date", "field", "text"])
-
-    t = x.select("path", "content").mapInPandas(run, "path string, line int, station string, date string, field string, text string")
+    t = with_records(x).select("path", "header", F.posexplode("lines").alias("line", "r"))
+    at = lambda name: F.get("r", F.array_position("header", name).cast("int") - 1)
+    t = t.where(F.array_contains("header", "POSTE") & F.array_contains("header", "DATE"))
+    fields = F.filter(F.array(*[F.struct(F.lit(f).alias("field"), at(f).alias("text"), F.array_contains("header", f).alias("there")) for f in FIELDS]), lambda e: e["there"])
+    t = t.select("path", "line", at("POSTE").alias("station"), at("DATE").alias("date"), F.explode(fields).alias("f")).select("path", "line", "station", "date", "f.field", "f.text")
     when = F.lit(None).cast("timestamp_ntz")
     for f, fmt in FIELDS.items():
         when = F.when(F.col("field") == f, F.try_to_timestamp("date", F.lit(fmt)).cast("timestamp_ntz")).otherwise(when)
     t = t.withColumn("time", when).withColumn("value", F.regexp_replace("text", ",", ".").try_cast("double")).where("time is not null")
     later = (F.col("time") + F.make_dt_interval(hours=F.lit(shift_hours))).cast("timestamp_ntz")
     t = t.withColumn("time", F.when(F.col("field") == "RR", F.col("time")).otherwise(later))
-    return t.groupBy(F.col("station").cast("long").alias("station"), "field", "time").agg(F.min_by("value", F.struct("path", "line")).alias("value"))
+    return t.groupBy(F.col("station").try_cast("long").alias("station"), "field", "time").agg(F.min_by("value", F.struct("path", "line")).alias("value"))
+
+
+def record_long(records: DataFrame, fields: tuple[str, ...] = ("rr1", "rr6", "rr")) -> DataFrame:
+    """(station, n, total, field): number and sum of each station's values per field of a record table."""
+    parts = F.array(*[F.struct(F.lit(f).alias("field"), F.when(~F.isnan(f), F.col(f)).alias("v")) for f in fields])
+    x = records.where("poste is not null").select(F.col("poste").alias("station"), F.explode(parts).alias("p")).where("p.v is not null")
+    return x.groupBy("station", F.col("p.field").alias("field")).agg(F.count("*").alias("n"), F.sum("p.v").alias("total")).select("station", "n", "total", "field")
 
 
 def measured_field(columns: list[str]) -> str:
@@ -121,14 +121,14 @@ class _Tables(HTMLParser):
             self.cell.append(data)
 
 
-def station_pages(spark: SparkSession, folder: str) -> DataFrame:
+def station_pages(spark: SparkSession, folder: str, pattern: str = "*.html") -> DataFrame:
     """(id, name, lat, lon, altitude, owner) of station tables in html pages, one row per id.
 
     Rows with a number first and at least five cells are stations; coordinates are read as degrees, minutes, seconds.
     """
     from rainloom.operators.near import with_position
 
-    x = spark.read.option("pathGlobFilter", "*.html").text(folder, wholetext=True)
+    x = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).text(folder, wholetext=True)
 
     def run(batches):
         import pandas as pd
@@ -163,6 +163,11 @@ def network_csv(spark: SparkSession, data: str, stations: str) -> tuple[DataFram
     return long.withColumn("station", F.col("station").cast("long")), station_columns(spark.read.csv(stations, header=True, inferSchema=True))
 
 
+def station_coordinates(stations: DataFrame, ids: DataFrame, id: str = "id") -> DataFrame:
+    """(id, lat, lon) of the stations asked for, each once; unknown ones have no row."""
+    return stations.join(ids.select(id).distinct(), id, "left_semi").groupBy(id).agg(F.min(F.struct("lat", "lon")).alias("p")).select(id, "p.lat", "p.lon")
+
+
 def distance_to(stations: DataFrame, lat: float, lon: float) -> DataFrame:
     from rainloom.functions.scalar import haversine_km
 
