@@ -180,8 +180,11 @@ def needed(length: int) -> int:
     return 1 if length < SHORT else max(2, length // PER_SEED)
 
 
-def share_of(item: np.ndarray, doc: np.ndarray, doc_at: np.ndarray, item_at: np.ndarray, chars: bool) -> float:
-    """Largest share of ``item`` that stands in ``doc``, given the positions of their common seeds."""
+def share_of(item: np.ndarray, doc: np.ndarray, doc_at: np.ndarray, item_at: np.ndarray, chars: bool, least: float = 0.0) -> float:
+    """Largest share of ``item`` that stands in ``doc``, given the positions of their common seeds.
+
+    Shares below ``least`` may come out as 0.
+    """
     dense, margin = CHARS if chars else WORDS
     order = np.argsort(doc_at, kind="stable")
     doc_at, item_at = doc_at[order].astype(np.int64), item_at[order].astype(np.int64)
@@ -193,6 +196,9 @@ def share_of(item: np.ndarray, doc: np.ndarray, doc_at: np.ndarray, item_at: np.
             continue
         low, high = max(0, int(doc_at[part[0]]) - len(item)), int(doc_at[part[-1]]) + len(item) + margin
         near = doc[low:high]
+        most = np.isin(item, near).mean()  # no more than its tokens that stand there at all
+        if most < least or most <= best:
+            continue
         best = max(best, covered(item, near, diagonals(item, near, min(dense[0], len(item))), dense, margin))
     return best
 
@@ -243,7 +249,7 @@ def _verify(share: float):
         for b in batches:
             rows = []
             for doc, chars, ids, item_id, item_ids, doc_at, item_at in b[["doc_id", "chars", "ids", "item_id", "item_ids", "doc_at", "item_at"]].itertuples(index=False, name=None):
-                s = share_of(np.frombuffer(item_ids, np.uint64), np.frombuffer(ids, np.uint64), doc_at, item_at, chars)
+                s = share_of(np.frombuffer(item_ids, np.uint64), np.frombuffer(ids, np.uint64), doc_at, item_at, chars, share)
                 if s >= share:
                     rows.append((doc, item_id, s))
             yield pd.DataFrame(rows, columns=["doc_id", "item_id", "share"])
