@@ -19,7 +19,6 @@ from pyspark.sql import functions as F
 CAPACITY = 2_048
 #: Items that a block has on average.
 BLOCK_ITEMS = 16_384
-TOKENIZERS = "/opt/tokenizers"
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Fixed value: the split pattern of the byte-level vocabularies.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -85,13 +84,13 @@ def pack(sizes: np.ndarray, capacity: int = CAPACITY) -> np.ndarray:
     return out
 
 
-def token_counter(folder: str = TOKENIZERS, vocabulary: str = VOCABULARY) -> bytes:
+def token_counter(folder: str, vocabulary: str = VOCABULARY) -> bytes:
     """What a task needs to count tokens: the vocabulary file's bytes, well under 2 MB."""
     with open(os.path.join(folder, vocabulary), "rb") as f:
         return f.read()
 
 
-def token_sizes(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", folder: str = TOKENIZERS, vocabulary: str = VOCABULARY) -> DataFrame:
+def token_sizes(documents: DataFrame, folder: str, vocabulary: str = VOCABULARY, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_tokens) of each document that has a text; special tokens' names are ordinary text."""
     shared = documents.sparkSession.sparkContext.broadcast(token_counter(folder, vocabulary))
     cache: dict = {}
@@ -133,7 +132,7 @@ def packed(sizes: DataFrame, capacity: int = CAPACITY, n_blocks: int = 1) -> Dat
     return x.groupBy("block").applyInPandas(run, "container_id long, doc_id long, piece int, start_token long, n_tokens long")
 
 
-def document_containers(documents: DataFrame, capacity: int = CAPACITY, block_items: int = BLOCK_ITEMS, folder: str = TOKENIZERS, vocabulary: str = VOCABULARY) -> DataFrame:
-    """Documents (doc_id, text) in containers of ``capacity`` tokens; see :func:`packed`."""
+def document_containers(documents: DataFrame, folder: str, vocabulary: str = VOCABULARY, capacity: int = CAPACITY, block_items: int = BLOCK_ITEMS) -> DataFrame:
+    """Documents (doc_id, text) in containers of ``capacity`` tokens of the vocabulary in ``folder``; see :func:`packed`."""
     n_blocks = max(1, -(-documents.count() // block_items))
-    return packed(token_sizes(documents, folder=folder, vocabulary=vocabulary), capacity, n_blocks)
+    return packed(token_sizes(documents, folder, vocabulary), capacity, n_blocks)

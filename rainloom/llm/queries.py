@@ -11,8 +11,12 @@ from rainloom.operators import units
 from rainloom.session import table
 
 
+#: Where the vocabulary files of the public tokenizers lie.
+TOKENIZERS = "/opt/tokenizers"
+
+
 def _text_rows(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
-    """Documents in as many partitions as the session shuffles into, if the files give fewer."""
+    """Documents; dealt out anew, the one shuffle of their texts, only where the files give fewer partitions than there are cores."""
     docs = table(spark, folder, "documents").select(*columns)
     want = spark.sparkContext.defaultParallelism
     return docs if docs.rdd.getNumPartitions() >= want else docs.repartition(3 * want)
@@ -50,7 +54,17 @@ def p7_bounds(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p8_containers(spark: SparkSession, folder: str) -> DataFrame:
-    return packing.document_containers(_text_rows(spark, folder, "doc_id", "text"))
+    return packing.document_containers(_text_rows(spark, folder, "doc_id", "text"), TOKENIZERS)
+
+
+def p8_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """Each document with whether it stands in containers whole: once, without gaps, cut only if it must be, none overfull."""
+    x = p8_containers(spark, folder)
+    size = packing.CAPACITY
+    full = x.groupBy("container_id").agg((F.sum("n_tokens") <= size).alias("fits"))
+    x = x.join(full, "container_id").groupBy("doc_id").agg(F.count("*").alias("n"), F.sum("n_tokens").alias("tokens"), F.sort_array(F.collect_list("start_token")).alias("starts"), F.min("fits").alias("fits"))
+    gaps = F.forall(F.transform("starts", lambda s, i: s == i * size), lambda ok: ok)
+    return x.select("doc_id", (F.col("fits") & gaps & (F.col("n") == F.ceil(F.col("tokens") / size))).alias("whole"))
 
 
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -69,7 +83,7 @@ def p10_found(spark: SparkSession, folder: str) -> DataFrame:
     return sentence_units.sentences(_text_rows(spark, folder, "doc_id", "text")).select("doc_id", "start_pos", "end_pos")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p7_percentiles, p7_daily, p7_bounds, p8_containers, p9_found, p10_found, p10_restored)}
+QUERIES = {f.__name__: f for f in (p2_found, p7_percentiles, p7_daily, p7_bounds, p8_containers, p8_documents, p9_found, p10_found, p10_restored)}
 
 _BLANKS = "' ' || " + " || ".join(f"chr({ord(c)})" for c in sentence_units.BLANKS if c != " ")
 
@@ -81,6 +95,7 @@ ORACLE = {
           group by key, time)
         select 'precipitationcal' as kind, key, q, count(*) as n, true as within
         from v, (select unnest({rank_sketch.QUANTILES!r}) as q) group by key, q""",
+    "p8_documents": "select doc_id, true as whole from documents where text is not null and text <> ''",
     "p10_restored": f"""
         select doc_id, cast(length(t) as bigint) as n_chars, md5(t) as digest
         from (select doc_id, translate(text, {_BLANKS}, '') as t from documents where text is not null) where t <> ''""",

@@ -11,6 +11,7 @@ from hypothesis import strategies as st
 
 from rainloom.llm import leaks, packing
 from rainloom.llm.nearest_time import match_nearest_time
+from rainloom.llm.queries import TOKENIZERS
 from rainloom.llm.rank_sketch import QUANTILES, RankSketch, TailSketch, day_sketches, merged, percentiles, rank_error
 from rainloom.llm.sentences import sentences
 
@@ -114,11 +115,11 @@ def test_packing_fills_well_and_cuts_only_long_items(spark):
     assert all(len(p) == -(-dict(sizes)[d] // 2048) for d, p in pieces.items()) and len(pieces) == 4000
 
 
-@pytest.mark.skipif(not os.path.isdir(packing.TOKENIZERS), reason="no tokenizer files")
+@pytest.mark.skipif(not os.path.isdir(TOKENIZERS), reason="no tokenizer files")
 def test_token_sizes_sum_to_containers(spark):
     docs = spark.createDataFrame([(1, "rain " * 5000, 0), (2, "", 0), (3, None, 0), (4, "雨量計 <|endoftext|>", 0), (4, "again", 0)], "doc_id long, text string, piece int")
-    sizes = {(r.doc_id, r.n_tokens) for r in packing.token_sizes(docs).collect()}
-    out = packing.document_containers(docs).collect()
+    sizes = {(r.doc_id, r.n_tokens) for r in packing.token_sizes(docs, TOKENIZERS).collect()}
+    out = packing.document_containers(docs, TOKENIZERS).collect()
     assert sum(n for _, n in sizes) == sum(r.n_tokens for r in out) and {r.doc_id for r in out} == {1, 4}
 
 
