@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rainloom.functions.unit_text import unit_of, unit_said
-from rainloom.session import fits
+from rainloom.session import BROADCAST_ROWS, fits
 
 #: Conversions known beside those of a unit table: (from, to, scale, offset).  They also close cycles.
 KNOWN_EDGES = [
@@ -140,13 +140,14 @@ def deployment_units(deployments: DataFrame) -> DataFrame:
     )
 
 
-def with_recorded_unit(readings: DataFrame, deployments: DataFrame, quantity: str, salts: int = 16) -> DataFrame:
+def with_recorded_unit(readings: DataFrame, deployments: DataFrame, quantity: str, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Readings (poste, field, time, unit, remark and others) with the code they are recorded in, ``unit_code``.
 
     The row's unit counts, then its remark, then the remarks of its deployment, else the common unit.
     Blank and unreadable units count as not given; a row without time or station has no deployment.
     Rows are neither lost nor multiplied.  Deployment spans are broadcast only if they were counted to be
-    few; otherwise both sides are shuffled on station, field and a salt, so a hot station is split.
+    few and small; otherwise both sides are shuffled on station, field and day, so a hot station is spread over its
+    days and a reading meets the spans of its day only.
     """
     common = "mm_h" if quantity == "rate" else "mm"
     unit, remark = F.col("unit"), F.col("remark")
@@ -156,12 +157,15 @@ def with_recorded_unit(readings: DataFrame, deployments: DataFrame, quantity: st
     x = readings.withColumn("__own", own).withColumn("__own", F.coalesce("__own", said))
     spans = deployment_units(deployments)
     on = (F.col("poste") == F.col("u_poste")) & (F.col("field") == F.col("u_field")) & (F.col("time") >= F.col("u_from")) & (F.col("time") < F.col("u_to")) & F.col("__own").isNull()
-    if fits(spans):
+    if fits(spans, broadcast_rows):
         x = x.join(F.broadcast(spans), on, "left")
     else:
-        spans = spans.withColumn("u_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        x = x.withColumn("__salt", F.pmod(F.xxhash64("poste", "time", "unit", "remark"), F.lit(salts)).cast("int"))
-        x = x.join(spans, on & (F.col("__salt") == F.col("u_salt")), "left")
+        ends = readings.agg(F.to_date(F.min("time")).alias("a"), F.to_date(F.max("time")).alias("b")).first()
+        if ends.a is None:
+            return x.select(*readings.columns, F.coalesce("__own", F.lit(common)).alias("unit_code"))
+        low, high = F.greatest(F.to_date("u_from"), F.lit(ends.a)), F.least(F.to_date("u_to"), F.lit(ends.b))
+        spans = spans.where(low <= high).withColumn("u_day", F.explode(F.sequence(low, high)))
+        x = x.withColumn("__day", F.to_date("time")).join(spans, on & (F.col("__day") == F.col("u_day")), "left")
     keep = [F.col(c) for c in readings.columns]
     return x.select(*keep, F.coalesce("__own", "u_code", F.lit(common)).alias("unit_code"))
 

@@ -683,11 +683,11 @@ _PARTS = f"""with {_GRID}, v as (select row_number() over (order by radar) - 1 a
 @query(
     f"""{_PARTS}, {_moments("low", "lo_")}, {_moments("high", "hi_")},
     z as (select time, lat, lon, sat, 1 / (1 + exp(greatest(least(-40 * (sat - c), 700), -700))) as up from grid, cut)
-    select time, lat, lon, round(greatest((lo_f.p2 * sat * sat + lo_f.p1 * sat + lo_f.p0) * (1 - up) + (hi_f.p2 * sat * sat + hi_f.p1 * sat + hi_f.p0) * up, 0), 3) as sat_matched from z, lo_f, hi_f"""
+    select time, lat, lon, round(greatest((lo_f.p2 * sat * sat + lo_f.p1 * sat + lo_f.p0) * (1 - up) + (hi_f.p2 * sat * sat + hi_f.p1 * sat + hi_f.p0) * up, 0), 4) as sat_matched from z, lo_f, hi_f"""
 )
 def quantile_match_by_parts(spark: SparkSession, d: str) -> DataFrame:
     """Ten thousand quantiles in each part, by ranks."""
-    return fusion.Fuser("qmatch_by_parts", "radar").transform(grid(spark, d)).select("time", "lat", "lon", F.round("sat_matched", 3).alias("sat_matched"))
+    return fusion.Fuser("qmatch_by_parts", "radar").transform(grid(spark, d)).select("time", "lat", "lon", F.round("sat_matched", 4).alias("sat_matched"))
 
 
 # ---- radar geometry and gauges against radar ---------------------------------------------------------------

@@ -109,6 +109,7 @@ def test_recorded_unit_order(spark):
         "id long, poste long, time timestamp_ntz, unit string, remark string, value double",
     ).withColumn("field", F.lit("rr6"))
     got = {x.id: x.unit_code for x in units.with_recorded_unit(r, d, "depth").collect()}
+    assert got == {x.id: x.unit_code for x in units.with_recorded_unit(r, d, "depth", broadcast_rows=0).collect()}
     assert got == {1: "um", 2: "um", 3: "mm", 4: "cm", 5: "inch", 6: "tenth_mm", 7: "mm", 8: "mm"}
 
 

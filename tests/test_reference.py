@@ -143,6 +143,62 @@ def test_fits():
     assert np.allclose(fusion.fit_callable(lambda x, a, b: a * np.exp(b * x / 5), x, 3 * np.exp(0.7 * x / 5), 2), [3, 0.7], atol=1e-5)
 
 
+def test_delaunay_is_delaunay():
+    from rainloom.operators.interp import delaunay
+
+    rng = np.random.default_rng(0)
+    g = np.stack(np.meshgrid(np.arange(12.0), np.arange(7.0)), -1).reshape(-1, 2)
+    for p in (rng.random((150, 2)), g, g[:3]):
+        x, y = p.T
+        t = delaunay(x, y)
+        area = 0.5 * np.abs((x[t[:, 1]] - x[t[:, 0]]) * (y[t[:, 2]] - y[t[:, 0]]) - (x[t[:, 2]] - x[t[:, 0]]) * (y[t[:, 1]] - y[t[:, 0]]))
+        for (a, b, c), s in zip(t, area):
+            if s < 1e-9:
+                continue
+            m = np.linalg.solve(2 * np.array([p[b] - p[a], p[c] - p[a]]), [p[b] @ p[b] - p[a] @ p[a], p[c] @ p[c] - p[a] @ p[a]])
+            assert (np.hypot(*(p - m).T) > np.hypot(*(p[a] - m)) - 1e-7).all()
+        if len(p) == len(g):
+            assert math.isclose(area.sum(), 66.0)
+    assert len(delaunay(np.zeros(2), np.zeros(2))) == 0
+
+
+def test_many_quantiles_by_rank(spark):
+    rng = np.random.default_rng(1)
+    v = np.round(rng.gamma(1, 3, (4000, 2)), 1)
+    df = spark.createDataFrame([(float(a), float(b)) for a, b in v] + [(None, float("nan"))], "a double, b double")
+    q = list(np.linspace(0, 1, 500))
+    got = fusion.exact_quantiles(df, ["a", "b"], q)
+    assert np.allclose(got["a"], np.quantile(v[:, 0], q)) and np.allclose(got["b"], np.quantile(v[:, 1], q))
+    assert np.isnan(fusion.exact_quantiles(df.limit(0), ["a"], q)["a"]).all()
+
+
+def test_idw_on_nodes_and_gaps(spark):
+    o = spark.createDataFrame([(1, T, 2.0), (2, T, 4.0), (1, T.replace(hour=1), 1.0), (2, T.replace(hour=1), None)], "station long, time timestamp_ntz, value double")
+    s = spark.createDataFrame([(1, 0.0, 0.0), (2, 0.0, 2.0)], "id long, lat double, lon double")
+    n = spark.createDataFrame([(0.0, 0.0), (0.0, 1.0)], "lat double, lon double")
+    got = {(r.time.hour, r.lon): r.value for r in interp.idw(o, s, n).collect()}
+    assert got == {(0, 0.0): None, (0, 1.0): 3.0, (1, 0.0): None, (1, 1.0): None}
+    assert {(r.time.hour, r.lon): r.value for r in interp.idw(o, s, n, exact_hit="value").collect()}[0, 0.0] == 2.0
+
+
+def test_checkpoints_and_broadcasts_are_checked(spark):
+    from rainloom import session
+
+    wide = spark.range(100).select(F.expr("repeat('x', 10000)").alias("t"))
+    assert session.fits(wide, 1000) and not session.fits(wide, 1000, 500_000) and not session.fits(wide, 50)
+    assert session.fits(spark.range(10).select(F.array("id", "id").alias("a"), F.struct("id").alias("s")), 10)
+
+
+def test_nearest_step_and_stations(spark):
+    from rainloom.sources import gauges
+
+    a = spark.createDataFrame([(T.replace(hour=h), 0.0, 0.0, float(h)) for h in (0, 5, 12)], "time timestamp_ntz, lat double, lon double, radar double")
+    b = spark.createDataFrame([(T.replace(hour=h), 0.0, 0.0, float(h)) for h in (3, 7, 11)], "time timestamp_ntz, lat double, lon double, sat double")
+    assert {r.radar: r.sat for r in align.at_nearest_step(a, b).collect()} == {0.0: 3.0, 5.0: 3.0, 12.0: 11.0}
+    s = spark.createDataFrame([(1, 1.0, 2.0), (1, 1.0, 2.0), (2, 3.0, 4.0)], "id long, lat double, lon double")
+    assert [tuple(r) for r in gauges.station_coordinates(s, spark.createDataFrame([(1,), (1,), (9,)], "id long")).collect()] == [(1, 1.0, 2.0)]
+
+
 def test_split_is_disjoint(spark):
     for method in ("sequential", "random"):
         a, b = align.split_times(cube(spark, range(10)), method=method)
@@ -192,7 +248,9 @@ def test_files(spark, tmp_path):
 def _names():
     import __spark_entry__ as e
 
-    return sorted(n for n in e.oracle_sql() if n in __import__("rainloom.plans.reference", fromlist=["QUERIES"]).QUERIES)
+    from rainloom.plans import climate, files, reference
+
+    return sorted(n for m in (reference, climate, files) for n in m.ORACLE)
 
 
 @pytest.mark.parametrize("name", _names())
