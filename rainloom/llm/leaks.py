@@ -176,7 +176,7 @@ def diagonals(item: np.ndarray, doc: np.ndarray, least: int) -> np.ndarray:
 
 
 def needed(length: int) -> int:
-    """Seeds that a leaked item of so many tokens has in the document, at least."""
+    """Seeds at different places that a leaked item of so many tokens has in the document, at least."""
     return 1 if length < SHORT else max(2, length // PER_SEED)
 
 
@@ -192,7 +192,7 @@ def share_of(item: np.ndarray, doc: np.ndarray, doc_at: np.ndarray, item_at: np.
     reach = 2 * len(item) + margin  # a passage spreads over no more, so seeds further apart are measured apart
     best = 0.0
     for part in np.split(np.arange(len(doc_at)), np.nonzero(np.diff(doc_at) > reach)[0] + 1):
-        if len(part) < need:
+        if len(part) < need or len(np.unique(item_at[part])) < need:
             continue
         low, high = max(0, int(doc_at[part[0]]) - len(item)), int(doc_at[part[-1]]) + len(item) + margin
         near = doc[low:high]
@@ -285,7 +285,7 @@ def leaked_items(documents: DataFrame, items: DataFrame, share: float = SHARE, d
     postings = rows.select("item_id", "chars", "n", F.explode(F.arrays_zip("h", "at")).alias("s")).groupBy("chars", F.col("s.h").alias("h")).agg(F.collect_list(F.struct("item_id", F.col("s.at").alias("at"), "n")).alias("p"))
     seeds = docs.select("doc_id", "key", "chars", F.explode(F.arrays_zip("h", "at")).alias("s")).select("doc_id", "key", "chars", F.col("s.h").alias("h"), F.col("s.at").alias("doc_at"))
     hits = seeds.join(small_or_shuffled(postings), ["chars", "h"]).select("doc_id", "key", "chars", "doc_at", F.explode("p").alias("p"))
-    pairs = hits.groupBy("doc_id", "key", "chars", "p.item_id", "p.n").agg(F.collect_set(F.struct("doc_at", F.col("p.at").alias("item_at"))).alias("at")).where(F.size("at") >= F.when(F.col("n") < SHORT, 1).otherwise(F.greatest(F.lit(2), F.floor(F.col("n") / PER_SEED))))
+    pairs = hits.groupBy("doc_id", "key", "chars", "p.item_id", "p.n").agg(F.collect_set(F.struct("doc_at", F.col("p.at").alias("item_at"))).alias("at")).where(F.size(F.array_distinct("at.item_at")) >= F.when(F.col("n") < SHORT, 1).otherwise(F.greatest(F.lit(2), F.floor(F.col("n") / PER_SEED))))
     pairs = pairs.select(F.col("doc_id").alias("p_id"), F.col("key").alias("p_key"), F.col("chars").alias("p_chars"), "item_id", F.col("at.doc_at").alias("doc_at"), F.col("at.item_at").alias("item_at"))
     texts = rows.select(F.col("item_id").alias("i_id"), F.col("ids").alias("item_ids"))
     pairs = pairs.join(small_or_shuffled(texts), F.col("item_id") == F.col("i_id"))
