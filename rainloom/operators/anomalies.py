@@ -45,6 +45,18 @@ def _to_lists(flat: np.ndarray, lengths: np.ndarray, kind: pa.DataType) -> pa.Ar
     return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(lengths)), pa.int32()), pa.array(flat, kind))
 
 
+def _slices(batches, rows: int = 512):
+    """Batches of at most ``rows`` blocks, so that memory follows the blocks held at once."""
+    for whole in batches:
+        if whole.num_rows <= rows:
+            if whole.num_rows:
+                yield whole
+            continue
+        for a in range(0, whole.num_rows, rows):
+            b = whole.slice(a, rows)
+            yield pa.RecordBatch.from_arrays([c.take(pa.array(range(len(c)))) for c in b.columns], names=b.schema.names)
+
+
 class _Packs:
     """Readings of many blocks in flat arrays: where runs begin, what is repeated, how long runs are."""
 
@@ -88,9 +100,7 @@ class _Packs:
 
 def _edges(batches):
     """Per block: its first and last run, and sums of the usual levels."""
-    for b in batches:
-        if not b.num_rows:
-            continue
+    for b in _slices(batches):
         p = _Packs(b)
         use = ~p.impossible & ~p.repeated
         at = p.of * _HOURS + p.hour
@@ -131,9 +141,7 @@ def _connect(batches):
 def _candidates(sample: int):
     def run(batches):
         """Per block: the feature box of its readings, and the readings with the smallest hashes, for the sample."""
-        for b in batches:
-            if not b.num_rows:
-                continue
+        for b in _slices(batches):
             p = _Packs(b)
             x, _ = p.features()
             low, high = np.minimum.reduceat(x, p.first), np.maximum.reduceat(x, p.first)
@@ -189,33 +197,30 @@ def _load(models: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def _verdicts(stuck_run: int):
     def run(batches):
         """Score, flags and levels by power of two of each block."""
-        for whole in batches:
-            for a in range(0, whole.num_rows, 512):  # memory follows the forests held at once
-                b = whole.slice(a, 512)
-                b = pa.RecordBatch.from_arrays([c.take(pa.array(range(len(c)))) for c in b.columns], names=b.schema.names)
-                p = _Packs(b)
-                x, length = p.features()
-                # equal readings of a block have equal scores: each is scored once
-                _, at, back = np.unique(np.column_stack([p.of, x.astype(np.float32)]).astype(np.float64), axis=0, return_index=True, return_inverse=True)
-                score = forest.scores(x[at], p.of[at], *_load(b.column("model").to_pylist()))[back.ravel()]
-                stuck = (length >= stuck_run) & (p.value > 0) & ~p.impossible
-                use = ~p.impossible & ~stuck & ~p.repeated
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    octave = np.where(p.value > 0, np.floor(np.log2(np.where(p.value > 0, p.value, 1.0))), _NO_OCTAVE).astype(np.int64)
-                order = np.nonzero(use)[0]
-                order = order[np.lexsort((octave[order], p.of[order]))]
-                of, oc = p.of[order], octave[order]
-                new = np.r_[True, (of[1:] != of[:-1]) | (oc[1:] != oc[:-1])] if len(of) else np.zeros(0, bool)
-                starts = np.nonzero(new)[0]
-                per = np.bincount(of[starts], minlength=b.num_rows)
-                reduce = lambda f, v: f.reduceat(v[order], starts) if len(starts) else np.zeros(0)
-                summary = [oc[starts], reduce(np.minimum, p.value), reduce(np.maximum, p.value), np.diff(np.append(starts, len(of))), reduce(np.add, score)]
-                kinds = [pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.float64()]
-                yield pa.RecordBatch.from_arrays(
-                    [*[b.column(k) for k in _KEYS], *[b.column(k) for k in ("row_id", "us", "value")], _to_lists(score, p.n, pa.float64()), _to_lists(p.impossible, p.n, pa.bool_()), _to_lists(stuck, p.n, pa.bool_()),
-                     *[_to_lists(v, per, k) for v, k in zip(summary, kinds)]],
-                    names=[*_KEYS, "row_id", "us", "value", "score", "impossible", "stuck", "octave", "low", "high", "n", "total"],
-                )
+        for b in _slices(batches):
+            p = _Packs(b)
+            x, length = p.features()
+            # equal readings of a block have equal scores: each is scored once
+            _, at, back = np.unique(np.column_stack([p.of, x.astype(np.float32)]).astype(np.float64), axis=0, return_index=True, return_inverse=True)
+            score = forest.scores(x[at], p.of[at], *_load(b.column("model").to_pylist()))[back.ravel()]
+            stuck = (length >= stuck_run) & (p.value > 0) & ~p.impossible
+            use = ~p.impossible & ~stuck & ~p.repeated
+            with np.errstate(divide="ignore", invalid="ignore"):
+                octave = np.where(p.value > 0, np.floor(np.log2(np.where(p.value > 0, p.value, 1.0))), _NO_OCTAVE).astype(np.int64)
+            order = np.nonzero(use)[0]
+            order = order[np.lexsort((octave[order], p.of[order]))]
+            of, oc = p.of[order], octave[order]
+            new = np.r_[True, (of[1:] != of[:-1]) | (oc[1:] != oc[:-1])] if len(of) else np.zeros(0, bool)
+            starts = np.nonzero(new)[0]
+            per = np.bincount(of[starts], minlength=b.num_rows)
+            reduce = lambda f, v: f.reduceat(v[order], starts) if len(starts) else np.zeros(0)
+            summary = [oc[starts], reduce(np.minimum, p.value), reduce(np.maximum, p.value), np.diff(np.append(starts, len(of))), reduce(np.add, score)]
+            kinds = [pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.float64()]
+            yield pa.RecordBatch.from_arrays(
+                [*[b.column(k) for k in _KEYS], *[b.column(k) for k in ("row_id", "us", "value")], _to_lists(score, p.n, pa.float64()), _to_lists(p.impossible, p.n, pa.bool_()), _to_lists(stuck, p.n, pa.bool_()),
+                 *[_to_lists(v, per, k) for v, k in zip(summary, kinds)]],
+                names=[*_KEYS, "row_id", "us", "value", "score", "impossible", "stuck", "octave", "low", "high", "n", "total"],
+            )
 
     return run
 
